@@ -1,0 +1 @@
+"""DataFrame operators: facts, validation, deduplication, retrieval, synthesis, rollouts, audits."""

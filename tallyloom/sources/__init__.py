@@ -1,0 +1 @@
+"""Readers, writers, schemas, and what may be plugged in from outside."""
