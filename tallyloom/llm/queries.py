@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import documents, shared_dir, table
 from tallyloom.llm.exact_dedup import exact_dedup
+from tallyloom.llm.langid import identify, page_evidence, train_text_model
+from tallyloom.llm.line_dedup import line_groups
+from tallyloom.llm.lm import lm_scores
 from tallyloom.llm.mixing import mix
 from tallyloom.llm.packing import pack
+from tallyloom.llm.secrets import corpus_words, scan, train_scanner
 from tallyloom.llm.simhash import simhash_groups
 from tallyloom.llm.token_output import read_documents, write_tokens
 from tallyloom.llm.topk import exact_topk
@@ -50,8 +54,28 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return lm_scores(documents(spark, sf_dir), held)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return scan(docs, train_scanner(corpus_words(docs)), path=F.col("source"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = line_groups(documents(spark, sf_dir))
+    return groups.select("doc_id", F.col("pos").alias("line_no"), F.col("keep_id").alias("keep_doc_id"), F.col("keep_pos").alias("keep_line_no"), "kept")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(page_evidence(table(spark, sf_dir, "pages")), train_text_model(documents(spark, sf_dir)))
+    return found.withColumnRenamed("id", "page_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_token_output, op3_exact_topk, op4_packing, op5_mixing, op6_simhash)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_token_output, op3_exact_topk, op4_packing, op5_mixing, op6_simhash, op7_lm_scoring, op8_secret_scan, op9_line_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
