@@ -75,7 +75,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """
     spark = docs.sparkSession
     scratch = shared_dir(spark)
-    kind = docs.schema[id_col].dataType
     keep = {"id": F.col(id_col), "source": F.col(source_col)}
     rows = written(word_counts(docs, keep, text_col).withColumn("row", F.monotonically_increasing_id()), f"{scratch}/sizes")
     u = F.xxhash64(F.col("id"), F.lit(seed))
@@ -116,4 +115,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         marked = marked.join(best, "row", "left").withColumn("extra", F.col("extra") + F.coalesce("more", F.lit(0))).drop("more")
     copies = F.when(F.col("source_size") > 0, F.col("whole") + F.col("extra")).otherwise(0)
     out = marked.withColumn("copies", copies.cast("long"))
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
