@@ -97,7 +97,7 @@ def metric(x: Column) -> Column:
     def found(pattern: str, kind: str) -> Column:
         raw = F.regexp_extract(x, f"({pattern})", 1)
         near = F.substring(x, F.regexp_instr(x, F.lit(pattern)), 200)
-        rest = F.concat(F.substring_index(near, raw, 1), F.substring(near, F.instr(near, raw) + F.length(raw), 200))
+        rest = F.substring(near, F.length(raw) + 1, F.lit(200))  # the metric begins what is near
         percent = F.regexp_extract(near, r"([+-]?\d+\.?\d*\s*%)", 1)
         plain = F.regexp_extract(rest, r"([+-]?\d+\.?\d*)", 1)
         value = F.when(percent != "", percent).when(plain != "", plain).otherwise(raw)

@@ -82,7 +82,8 @@ def report_facts(reports: DataFrame, years: list[str]) -> DataFrame:
                 each.append(F.struct(F.lit(f"{year}年预测{label}").alias("metric"), F.col(f"{kind}_{year}").cast("string").alias("raw_value")))
     long = reports.withColumn("e", F.explode(F.array(*each))).filter(truthy(F.col("e.raw_value")) & ~F.lower("e.raw_value").isin(*NO_VALUE))
     day = F.col("date").cast("string")
-    return build_facts(long.select(F.col("name").alias("entity"), "e.metric", "e.raw_value", F.concat_ws(" ", "broker", "title").alias("source_doc"), F.coalesce("url", F.lit("")).alias("source_url"), F.lit("research_report").alias("source_type"), F.concat_ws("_", F.lit("report"), "name", "broker", day).alias("document_id"), day.alias("date"), day.alias("published_at"), F.concat_ws("：", F.lit("机构"), "broker").alias("extra"), F.col("broker").alias("id_extra")))
+    url = F.col("url") if "url" in reports.columns else F.lit(None).cast("string")
+    return build_facts(long.select(F.col("name").alias("entity"), "e.metric", "e.raw_value", F.concat_ws(" ", "broker", "title").alias("source_doc"), F.coalesce(url, F.lit("")).alias("source_url"), F.lit("research_report").alias("source_type"), F.concat_ws("_", F.lit("report"), "name", "broker", day).alias("document_id"), day.alias("date"), day.alias("published_at"), F.concat_ws("：", F.lit("机构"), "broker").alias("extra"), F.col("broker").alias("id_extra")))
 
 
 def announcement_facts(rows: DataFrame, order: list[str]) -> DataFrame:

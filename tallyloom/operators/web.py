@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,14 +69,14 @@ def links(html: str | None) -> list[dict]:
     return parser.found
 
 
-@F.pandas_udf("string")
-def visible_text(html: pd.Series) -> pd.Series:
-    return html.map(visible)
+def visible_text(html: Column) -> Column:
+    """Visible text of whole pages, a batch at a time."""
+    return F.pandas_udf(lambda x: x.map(visible), "string", F.PandasUDFType.SCALAR)(html)
 
 
-@F.pandas_udf("array<struct<title:string,url:string>>")
-def result_links(html: pd.Series) -> pd.Series:
-    return html.map(links)
+def result_links(html: Column) -> Column:
+    """Titles and addresses of the result links of whole pages."""
+    return F.pandas_udf(lambda x: x.map(links), "array<struct<title:string,url:string>>", F.PandasUDFType.SCALAR)(html)
 
 
 def visible_text_plain(html: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -32,26 +31,28 @@ def read_strict(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.when(F.col("error").isNull(), True).otherwise(F.raise_error(where).cast("boolean"))).drop("error")
 
 
-def read_lenient(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Typed rows; a missing path is an empty table and bad lines are dropped."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def read_fail_fast(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_fail_fast(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Typed rows; a bad line fails the query."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_quarantine(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def read_quarantine(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(typed rows, bad lines)."""
-    whole = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return rows.filter("_corrupt_record is null").drop("_corrupt_record"), rows.filter("_corrupt_record is not null").select("_corrupt_record")
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = lines.select("value", parsed.alias("r"))
+    bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
+    return rows.filter(~bad).select("r.*").drop("_corrupt_record"), rows.filter(bad).select(F.col("value").alias("_corrupt_record"))
 
 
-def read_audit(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_audit(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Audit rows, each with a reward; an empty file or a row without one is an error."""
     rows = read_fail_fast(spark, path, schema)
     if rows.limit(1).count() == 0:
