@@ -68,17 +68,29 @@ def enrich_industry(df: DataFrame, overwrite: bool = False) -> DataFrame:
     return df.withColumn("__new", value).withColumn("changed", ~old.eqNullSafe(F.col("__new"))).withColumn("industry", F.col("__new")).drop("__new")
 
 
-def name_in_title(df: DataFrame, title: str, names: DataFrame, name: str, order: str, code: str | None = None, name_code: str | None = None) -> DataFrame:
-    """Each title's ``name``: by code if given and known, else the first name by ``order`` that the title contains.
+def name_in_title(df: DataFrame, title: str, names: DataFrame, name: str, order: str, code: str | None = None, name_code: str | None = None, limit: int = 10_000) -> DataFrame:
+    """Each title's ``name`` in ``matched``: by code if given and known, else the first name by ``order`` that the title contains.
 
-    The names go along as one sorted list in each task, so that a title meets them in its own row.
+    Up to ``limit`` names go along as one sorted list in each task, so that a title meets them in its own row.  More
+    names are met by equality: a title is taken apart into its substrings of the lengths that names have.
     """
-    listed = names.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n"), (F.col(name_code) if name_code else F.lit(None).cast("string")).alias("c")))).alias("__names"))
-    found = F.try_element_at(F.filter("__names", lambda x: F.contains(F.col(title), x["n"])), F.lit(1))["n"]
-    if code:
-        by_code = F.try_element_at(F.filter("__names", lambda x: x["c"] == F.col(code)), F.lit(1))["n"]
-        found = F.coalesce(by_code, found)
-    return df.join(F.broadcast(listed)).withColumn("matched", found).drop("__names")
+    pairs = names.select(F.col(order).alias("o"), F.col(name).alias("n"), (F.col(name_code) if name_code else F.lit(None).cast("string")).alias("c")).filter("n <> ''")
+    if pairs.limit(limit + 1).count() <= limit:
+        listed = pairs.agg(F.sort_array(F.collect_list(F.struct("o", "n", "c"))).alias("__names"))
+        found = F.try_element_at(F.filter("__names", lambda x: F.contains(F.col(title), x["n"])), F.lit(1))["n"]
+        if code:
+            found = F.coalesce(F.try_element_at(F.filter("__names", lambda x: x["c"] == F.col(code)), F.lit(1))["n"], found)
+        return df.join(F.broadcast(listed)).withColumn("matched", found).drop("__names")
+    lengths = [r[0] for r in pairs.select(F.length("n").alias("k")).distinct().collect()]  # as many as the longest name has characters
+    part = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(title) - k + 1, F.lit(1))), lambda i: F.substring(F.col(title), i, F.lit(k)))
+    keyed = df.withColumn("__row", F.monotonically_increasing_id())
+    cut = keyed.select("__row", F.explode(F.array_distinct(F.flatten(F.array(*[part(k) for k in lengths])))).alias("n"))
+    best = cut.join(pairs, "n").groupBy("__row").agg(F.min_by("n", "o").alias("__by_name"))
+    out = keyed.join(best, "__row", "left").drop("__row")
+    if not code:
+        return out.withColumnRenamed("__by_name", "matched")
+    by_code = pairs.filter("c is not null").groupBy(F.col("c").alias("__c")).agg(F.min_by("n", "o").alias("__by_code"))
+    return out.join(by_code, F.col(code) == F.col("__c"), "left").withColumn("matched", F.coalesce("__by_code", "__by_name")).drop("__c", "__by_code", "__by_name")
 
 
 def keep_codes(df: DataFrame, codes: DataFrame, key: str) -> DataFrame:

@@ -17,11 +17,12 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def search(queries: DataFrame, records: DataFrame, k: int = TOP_K, strict: bool = False, query_vector: str = "vector", vector: str = "embedding", query_id: str = "query_id", id_col: str = "fact_id", text: str | None = "query", blocks: int = 64) -> DataFrame:
+def search(queries: DataFrame, records: DataFrame, k: int = TOP_K, strict: bool = False, query_vector: str = "vector", vector: str = "embedding", query_id: str = "query_id", id_col: str = "fact_id", text: str | None = "query", blocks: int = 64, few: int = 2000) -> DataFrame:
     """Each query's ``k`` best records with ``score`` and ``rank``: highest product, ties to the smaller id.
 
-    A blank query or ``k`` below 1 gives nothing, with ``strict`` an error.  Queries are repeated per block of
-    records and records keep their place: a block's own best are ranked before blocks meet.
+    A blank query or ``k`` below 1 gives nothing, with ``strict`` an error.  Up to ``few`` queries go to the records
+    as they lie, and each task ranks its own best first.  More queries are repeated per block of records, and a
+    block's best are ranked before blocks meet.
     """
     if k < 1 and strict:
         raise ValueError("k must be at least 1")
@@ -29,6 +30,10 @@ def search(queries: DataFrame, records: DataFrame, k: int = TOP_K, strict: bool
     if text and text in queries.columns:
         some = F.coalesce(trim(F.col(text)) != "", F.lit(False))
         asked = asked.filter(F.assert_true(some, "query must not be blank").isNull()) if strict else asked.filter(some)
+    if asked.limit(few + 1).count() <= few:
+        met = records.join(F.broadcast(asked)).withColumn("score", inner_product(F.col("__q"), F.col(vector)))
+        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)))
+        return ranked.filter(F.col("rank") <= max(k, 0)).drop("__q", vector)
     block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
     parts = asked.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = records.withColumn("__block", block).join(parts, "__block").withColumn("score", inner_product(F.col("__q"), F.col(vector)))

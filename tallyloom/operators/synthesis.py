@@ -94,10 +94,17 @@ def number_rows(df: DataFrame, order: list[str], column: str = "qid", form: str
 
 
 def round_robin_roots(facts: DataFrame, attempts: int, seed: int = 0, entity: str = "entity", id_col: str = "fact_id") -> DataFrame:
-    """(attempt, entity, root id): attempt i takes entity i modulo their number in a seeded order, and a seeded fact of it."""
-    order = Window.orderBy(F.sha2(F.concat(F.col(entity), F.lit(f":{seed}")), 256), entity)
-    names = facts.select(entity).distinct().withColumn("slot", F.row_number().over(order) - 1)
-    n = names.count()
-    tries = facts.sparkSession.range(attempts).select(F.col("id").alias("attempt"), F.pmod(F.col("id"), F.lit(max(n, 1))).alias("slot")).join(names, "slot")
-    draw = F.sha2(F.concat(F.col(id_col).cast("string"), F.lit(":"), F.col("attempt").cast("string"), F.lit(f":{seed}")), 256)
-    return tries.join(facts.select(entity, id_col), entity).groupBy("attempt", entity).agg(F.min_by(id_col, F.struct(draw, F.col(id_col))).alias("root_id"))
+    """(attempt, entity, root_id): attempt i takes entity i modulo their number in a seeded order, and its next fact.
+
+    An entity's facts are in a seeded order of their own and come round again when all are used; only as many of
+    them are ranked as there are rounds.
+    """
+    seeded = lambda c: F.sha2(F.concat(F.col(c).cast("string"), F.lit(f":{seed}")), 256)
+    names = facts.groupBy(entity).agg(F.count("*").alias("facts"))
+    names = names.withColumn("slot", F.row_number().over(Window.orderBy(seeded(entity), entity)) - 1)  # one row per entity
+    n = max(1, names.count())
+    tries = facts.sparkSession.range(attempts).select(F.col("id").alias("attempt"), (F.col("id") % n).alias("slot"), F.floor(F.col("id") / n).alias("round"))
+    tries = tries.join(names, "slot").select("attempt", entity, (F.col("round") % F.col("facts") + 1).alias("place"))
+    place = F.row_number().over(Window.partitionBy(entity).orderBy(seeded(id_col), id_col))
+    ranked = facts.select(entity, F.col(id_col).alias("root_id"), place.alias("place")).filter(F.col("place") <= -(-attempts // n))
+    return tries.join(ranked, [entity, "place"]).select("attempt", entity, "root_id")

@@ -187,11 +187,11 @@ def two_hop_questions(spark, sf):
 
 
 @_query("""
-WITH e AS (SELECT o_orderpriority AS entity, row_number() OVER (ORDER BY sha256(o_orderpriority || ':3'), o_orderpriority) - 1 AS slot FROM (SELECT DISTINCT o_orderpriority FROM orders)),
-a AS (SELECT attempt, entity FROM range(20) r(attempt) JOIN e ON attempt % (SELECT count(*) FROM e) = slot)
-SELECT attempt, entity, arg_min(o_orderkey, sha256(o_orderkey || ':' || attempt || ':3')) AS root_id FROM a JOIN orders ON o_orderpriority = entity GROUP BY ALL""")
+WITH e AS (SELECT entity, c, row_number() OVER (ORDER BY sha256(entity || ':3'), entity) - 1 AS slot FROM (SELECT o_orderpriority AS entity, count(*) AS c FROM orders GROUP BY 1)),
+f AS (SELECT o_orderpriority AS entity, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256(o_orderkey || ':3'), o_orderkey) AS place FROM orders)
+SELECT attempt, entity, o_orderkey AS root_id FROM range(1000) r(attempt) JOIN e ON attempt % (SELECT count(*) FROM e) = slot JOIN f USING (entity) WHERE place = (attempt // (SELECT count(*) FROM e)) % c + 1""")
 def round_robin_roots(spark, sf):
-    return synthesis.round_robin_roots(_t(spark, sf, "orders"), 20, 3, "o_orderpriority", "o_orderkey").withColumnRenamed("o_orderpriority", "entity")
+    return synthesis.round_robin_roots(_t(spark, sf, "orders"), 1000, 3, "o_orderpriority", "o_orderkey").withColumnRenamed("o_orderpriority", "entity")
 
 
 @_query("""

@@ -113,6 +113,8 @@ def test_titles_and_codes(spark):
     df = spark.createDataFrame([("平安银行与贵州茅台", None), ("公告", "600519"), ("无", None)], "title string, code string")
     got = dimensions.name_in_title(df, "title", names, "name", "o", "code", "code").collect()
     assert [r.matched for r in got] == ["贵州茅台", "贵州茅台", None]
+    many = dimensions.name_in_title(df, "title", names, "name", "o", "code", "code", limit=5).collect()
+    assert {r.title: r.matched for r in many} == {r.title: r.matched for r in got}
     assert dimensions.keep_codes(names, spark.createDataFrame([("600519",), ("600519",)], "code string"), "code").count() == 1
     assert [r.day for r in dimensions.last_days(spark, "2025-03-02", 3).collect()] == ["20250227", "20250228", "20250301"]
 
@@ -148,6 +150,7 @@ def test_search(spark):
     q = spark.createDataFrame([(1, "x", [1.0, 0.0]), (2, " ", [1.0, 0.0])], "query_id int, query string, vector array<float>")
     got = retrieval.search(q, recs, 3).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.fact_id, r.score) for r in got] == [(1, "2", 2.0), (1, "5", 2.0), (1, "1", 1.0)]
+    assert retrieval.search(q, recs, 3, few=0, blocks=3).orderBy("query_id", "rank").select(*got[0].asDict()).collect() == got
     assert retrieval.search(q, recs, 0).count() == 0 and retrieval.search(q, recs, 99).count() == 7
     with pytest.raises(ValueError, match="at least 1"):
         retrieval.search(q, recs, 0, strict=True)
