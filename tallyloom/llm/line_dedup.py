@@ -1,6 +1,6 @@
 """Operator 9: fuzzy line deduplication by MinHash.
 
-Lines are compared by their sets of character shingles after lower-casing and collapsing white space.  A line's
+Lines are compared by their sets of character shingles after lower-casing A to Z and collapsing white space.  A line's
 signature is one hash per shingle, the least kept in each of a fixed number of bins (one-permutation
 MinHash; empty bins take the next one's value); bands of bins are keys.  Lines that share a key are
 candidates, which are verified by the exact Jaccard similarity of their shingle sets.  Verified pairs go to the
@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import SPACE, shared_dir, written
+from tallyloom.llm.common import shared_dir, tidy, written
 from tallyloom.llm.components import components
-from tallyloom.llm.textbytes import text_slices
+from tallyloom.llm.textbytes import LOWER_BYTES, SPACE_BYTES, text_slices, word_bounds
 
-#: Bytes in a character shingle, bands and bins per band, least similarity.
+#: Bytes in a character shingle (a machine word), bands and bins per band, least similarity.
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 12, 5, 0.8
+#: Bits of the mask that keeps most lines without candidates out of the exchange of texts; its size is fixed.
+MASK_BITS = 1 << 24
 #: Up to so many different lines under one key, all pairs are candidates.
 SMALL_GROUP = 24
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -37,27 +39,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x * _M2 ^ (x >> np.uint64(32))
 
 
-def _shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, line) of each byte shingle; a shorter line that isn't empty is one shingle."""
+def _shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(8-byte shingle as a mixed number, line) at each place; a shorter line that isn't empty is one shingle."""
+    room = np.concatenate([data, np.zeros(SHINGLE, np.uint8)])
+    windows = np.ndarray((len(data),), "<u8", buffer=room.data, strides=(1,))
     lengths = np.diff(offsets)
-    counts = np.where(lengths >= n, lengths - n + 1, np.minimum(lengths, 1))
+    counts = np.maximum(lengths - SHINGLE + 1, 0)
     line = np.repeat(np.arange(len(lengths)), counts)
-    first = np.arange(len(line)) - np.repeat(np.cumsum(counts) - counts, counts) + offsets[:-1][line]
-    x = np.zeros(len(line), np.uint64)
-    room = np.concatenate([data, np.zeros(n, np.uint8)])
-    inside = np.minimum(lengths, n)[line]
-    for k in range(n):
-        byte = room[first + k].astype(np.uint64)
-        x = x << np.uint64(8) | np.where(k < inside, byte, 0).astype(np.uint64)
+    whole = np.repeat(offsets[1:], lengths) - np.arange(offsets[0], offsets[-1]) >= SHINGLE
+    x = windows[whole]
+    short = np.flatnonzero((lengths > 0) & (lengths < SHINGLE))
+    if len(short):
+        bits = (8 * lengths[short]).astype(np.uint64)
+        x = np.concatenate([x, windows[offsets[:-1][short]] & ((np.uint64(1) << bits) - np.uint64(1))])
+        line = np.concatenate([line, short])
     return _mixed(x), line
 
 
-def band_keys(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def band_keys(data: np.ndarray, offsets: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """A key per line (none empty) and band: lines by bands."""
-    hashes, line = _shingles(data, offsets, shingle)
+    hashes, line = _shingles(data, offsets)
     n, bins = len(offsets) - 1, bands * rows
     least = np.full(n * bins, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, line * bins + (hashes >> np.uint64(40)).astype(np.int64) % bins, hashes & np.uint64((1 << 40) - 1))
+    bin_ = (hashes >> np.uint64(40)) * np.uint64(bins) >> np.uint64(24)
+    np.minimum.at(least, line * bins + bin_.view(np.int64), hashes & np.uint64((1 << 40) - 1))
     least = least.reshape(n, bins)
     # An empty bin takes the value of the next that isn't, round the circle, marked by the distance.
     empty = least == np.iinfo(np.uint64).max
@@ -71,27 +76,66 @@ def band_keys(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, ban
     return _mixed(key + np.arange(bands, dtype=np.uint64))
 
 
-def normalised_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, t, pos, h, line) of each line that isn't blank: t a hash of the document's text, h of the normalised line."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
-    line = F.lower(F.trim(F.regexp_replace("raw", SPACE, " ")))
-    return lines.select("id", "t", "pos", line.alias("line")).filter("line <> ''").select("id", "t", "pos", F.xxhash64("line").alias("h"), "line")
+def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, begins, ends, document, place) of the normalised lines that aren't blank, of a slice of documents."""
+    starts, stops = word_bounds(data, offsets)
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return b"", none, none, none, none
+    doc = np.searchsorted(offsets, starts, "right") - 1
+    apart = stops < offsets[doc + 1]  # white space follows, unless the document ends
+    keep = ~SPACE_BYTES[data]
+    keep[stops[apart]] = True
+    lower = LOWER_BYTES[data]
+    lower[stops[apart]] = 0x20
+    after = np.cumsum(stops - starts + apart)
+    breaks = np.flatnonzero(data == 0x0A)
+    before = np.searchsorted(breaks, starts)
+    number = before + doc
+    first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    last = np.append(first[1:], len(starts)) - 1
+    begins = (after - (stops - starts + apart))[first]
+    return lower[keep].tobytes(), begins, (after - apart)[last], doc[first], before[first] - np.searchsorted(breaks, offsets[:-1])[doc[first]]
+
+
+def _chunk(batches):
+    """A row per slice of documents: their ids and hashes, their lines' documents, places and hashes, and each different line's text and keys."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    for batch in batches:
+        at = 0
+        for data, offsets in text_slices(batch.column(1), 4 << 20):
+            docs = len(offsets) - 1
+            whole = data.tobytes()
+            t = np.array([digest(whole[a:b], 42) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint64)
+            raw, begins, ends, doc, place = split_lines(data, offsets)
+            h = np.fromiter((digest(raw[a:b], 42) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)), np.uint64, len(begins))
+            different, first = np.unique(h, return_index=True)
+            texts = b"".join([raw[a:b] for a, b in zip(begins[first].tolist(), ends[first].tolist(), strict=True)])
+            bounds = np.concatenate([[0], np.cumsum(ends[first] - begins[first])])
+            keys = [band_keys(np.frombuffer(texts, np.uint8)[bounds[k] : bounds[min(k + 4096, len(first))]], bounds[k : k + 4097] - bounds[k]) for k in range(0, len(first), 4096)]
+            one = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
+            ids = pa.ListArray.from_arrays(pa.array([0, docs], pa.int32()), batch.column(0).slice(at, docs))
+            yield pa.RecordBatch.from_arrays([ids, one(t, "<u8"), one(doc, "<i4"), one(place, "<i4"), one(h, "<u8"), one(different, "<u8"), one(np.concatenate(keys) if keys else np.zeros(0), "<u8"), pa.array([texts], pa.binary()), one(bounds, "<i4")], names=["ids", "t", "doc", "place", "h", "different", "keys", "texts", "bounds"])
+            at += docs
+
+
+def _rows(batches):
+    """(id, t, pos, h) of each line of the chunks."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            t, doc, place, h = (np.frombuffer(batch.column(k)[i].as_py(), kind) for k, kind in ((1, "<i8"), (2, "<i4"), (3, "<i4"), (4, "<i8")))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i].values.take(pa.array(doc)), pa.array(t[doc]), pa.array(place), pa.array(h)], names=["id", "t", "pos", "h"])
 
 
 def _emit(parts: int):
     def emit(batches):
-        """Keys of a batch's different lines, packed by the task that will compare them."""
+        """Keys of a chunk's different lines, packed by the task that will compare them."""
         for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False)
-            _, first = np.unique(h, return_index=True)
-            lines = batch.column(1).take(pa.array(first))
-            own, at = h[first], 0
-            for data, offsets in text_slices(lines, 2 << 20):
-                n = len(offsets) - 1
-                keys = band_keys(data, offsets)
-                ids = np.broadcast_to(own[at : at + n, None], keys.shape).reshape(-1)
-                keys, at = keys.reshape(-1), at + n
+            for i in range(batch.num_rows):
+                own, keys = np.frombuffer(batch.column(0)[i].as_py(), np.int64), np.frombuffer(batch.column(1)[i].as_py(), np.uint64)
+                ids = np.repeat(own, BANDS)
                 to = (keys >> np.uint64(33)).astype(np.int64) % parts
                 order = np.argsort(to, kind="stable")
                 bounds = np.searchsorted(to[order], np.arange(parts + 1))
@@ -102,6 +146,37 @@ def _emit(parts: int):
     return emit
 
 
+def _mask(batches):
+    """A bit per wanted line hash, of a fixed number of bits."""
+    bits = np.zeros(MASK_BITS // 8, np.uint8)
+    for batch in batches:
+        at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(MASK_BITS)
+        np.bitwise_or.at(bits, (at >> np.uint64(3)).view(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+
+def _or(batches):
+    bits = np.zeros(MASK_BITS // 8, np.uint8)
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            bits |= np.frombuffer(x, np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+
+def _pick(bits: np.ndarray):
+    def pick(batches):
+        """(h, line) of the different lines of chunks whose bit is set: all that are wanted and a few more."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own, bounds = np.frombuffer(batch.column(0)[i].as_py(), np.int64), np.frombuffer(batch.column(2)[i].as_py(), np.int32)
+                lines = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(bounds), batch.column(1)[i].as_buffer()])
+                at = own.view(np.uint64) % np.uint64(MASK_BITS)
+                some = pa.array(np.flatnonzero(bits[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1))
+                yield pa.RecordBatch.from_arrays([pa.array(own).take(some), lines.take(some)], names=["h", "line"])
+
+    return pick
+
+
 def _meet(batches):
     """Pairs of lines under small keys; (key, line) with b null under the others.  A task gets whole keys."""
     parts: dict[int, list] = {}
@@ -130,31 +205,49 @@ def _meet(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys[large].view(np.int64)), pa.array(ids[large]), pa.nulls(int(large.sum()), pa.int64())], names=["key", "a", "b"])
 
 
-def _set(line: bytes, n: int = SHINGLE) -> np.ndarray:
-    data = np.frombuffer(line, np.uint8)
-    return np.unique(_shingles(data, np.array([0, len(data)]), n)[0])
-
-
-def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether two sorted shingle sets have that Jaccard similarity."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= least * (len(a) + len(b) - both)
+def _sets(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' sets of shingles, sorted, one after the other, and where each begins and the last ends."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
+    x, line = _shingles(np.frombuffer(b"".join(lines), np.uint8), offsets)
+    order = np.lexsort((x, line))
+    x, line = x[order], line[order]
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = (x[1:] != x[:-1]) | (line[1:] != line[:-1])
+    return x[fresh], np.searchsorted(line[fresh], np.arange(len(lines) + 1))
+
+
+def similar_pairs(lines: list[bytes], a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """For each pair of places in ``lines``, whether the Jaccard similarity of their shingle sets is at least that."""
+    sets, bounds = _sets(lines)
+    size = np.diff(bounds)
+    out = np.zeros(len(a), bool)
+    fits = np.flatnonzero(np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]))
+    # A set's members are told from other sets' by a number of the line mixed in.
+    salt = _mixed(np.arange(1, len(lines) + 1, dtype=np.uint64))
+    members = np.sort(sets ^ np.repeat(salt, size))
+    for k in range(0, len(fits), 2048):
+        own = fits[k : k + 2048]
+        n = size[a[own]]
+        pair = np.repeat(np.arange(len(own)), n)
+        x = sets[np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + bounds[a[own]][pair]] ^ salt[b[own]][pair]
+        order = np.argsort(x)  # sorted searches stay in the cache
+        found = np.zeros(len(x), bool)
+        found[order] = members[np.minimum(np.searchsorted(members, x[order]), len(members) - 1)] == x[order]
+        both = np.bincount(pair, found, len(own))
+        out[own] = both >= least * (n + size[b[own]] - both)
+    return out
 
 
 def _verify(batches):
-    """(u, v) of the pairs (a, b, line_a, line_b) that are similar enough; equal a follow each other."""
-    for batch in batches:
-        a, b = (batch.column(i).to_pylist() for i in (0, 1))
-        la, lb = (batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
-        keep, last, own = [], None, None
-        for i in range(len(a)):
-            if a[i] != last:
-                last, own = a[i], _set(la[i])
-            keep.append(similar(own, _set(lb[i])))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(mask)
+    """(u, v) of the pairs (a, b, line_a, line_b) that are similar enough."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 4096):
+            batch = whole.slice(at, 4096)
+            ids = np.concatenate([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
+            _, first, place = np.unique(ids, return_index=True, return_inverse=True)
+            lines = pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(first)).to_pylist()
+            keep = similar_pairs(lines, place[: batch.num_rows], place[batch.num_rows :])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
 
 def _connect(batches):
@@ -162,32 +255,46 @@ def _connect(batches):
     key, ids, lines = None, [], []
 
     def forest():
-        sets = [_set(x) for x in lines]
-        rest, out = list(range(len(ids))), []
-        while rest:
-            front, rest = [rest[0]], rest[1:]
-            while front and rest:
+        flat, bounds = _sets(lines)
+        size, rest, out = np.diff(bounds), np.arange(len(ids)), []
+        of = np.repeat(rest, size)
+        while len(rest):
+            front, rest = [int(rest[0])], rest[1:]
+            left = np.isin(of, rest)
+            flat, of = flat[left], of[left]
+            while front and len(rest):
                 x = front.pop()
-                flat = np.concatenate([sets[i] for i in rest])
-                size = np.array([len(sets[i]) for i in rest])
-                both = np.add.reduceat(np.isin(flat, sets[x]), np.cumsum(size) - size, dtype=np.int64)
-                hit = both >= SIMILARITY * (size + len(sets[x]) - both)
-                near = [i for i, ok in zip(rest, hit, strict=True) if ok]
-                rest = [i for i, ok in zip(rest, hit, strict=True) if not ok]
-                out += [(ids[x], ids[i]) for i in near]
-                front += near
+                own = sets_of[x]
+                place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                both = np.bincount(of, own[place] == flat, len(ids))[rest]
+                hit = both >= SIMILARITY * (size[rest] + len(own) - both)
+                if hit.any():
+                    near = rest[hit].tolist()
+                    out += [(ids[x], ids[i]) for i in near]
+                    front += near
+                    rest = rest[~hit]
+                    gone = np.zeros(len(ids), bool)
+                    gone[near] = True
+                    flat, of = flat[~gone[of]], of[~gone[of]]
         return pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
 
+    def flush():
+        nonlocal sets_of
+        flat, bounds = _sets(lines)
+        sets_of = np.split(flat, bounds[1:-1])
+        return forest()
+
+    sets_of: list[np.ndarray] = []
     for batch in batches:
-        for k, h, line in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+        for k, h, line in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True):
             if k != key and ids:
-                yield forest()
+                yield flush()
                 ids, lines = [], []
             key = k
             ids.append(h)
             lines.append(line)
     if ids:
-        yield forest()
+        yield flush()
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
@@ -200,23 +307,31 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     scratch = shared_dir(spark)
-    lines = normalised_lines(docs, id_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    blobs = ("t", "doc", "place", "h", "different", "keys", "texts", "bounds")
+    chunks = written(source.mapInArrow(tidy(_chunk), f"ids array<{kind}>, " + ", ".join(f"{b} binary" for b in blobs)), f"{scratch}/chunks")
     n = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = lines.select("h", "line").mapInArrow(_emit(n), "part long, keys binary, ids binary")
-    met = written(packed.repartition(n, "part").mapInArrow(_meet, "key long, a long, b long"), f"{scratch}/met")
+    packed = chunks.select("different", "keys").mapInArrow(tidy(_emit(n)), "part long, keys binary, ids binary")
+    met = written(packed.repartition(n, "part").mapInArrow(tidy(_meet), "key long, a long, b long"), f"{scratch}/met")
     pairs = written(met.filter("key is null").select("a", "b").distinct(), f"{scratch}/pairs")
     crowds = met.filter("key is not null").select("key", F.col("a").alias("h"))
 
     wanted = written(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(crowds.select("h")).distinct(), f"{scratch}/wanted")
-    texts = written(lines.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), f"{scratch}/texts")
+    bits = np.zeros(MASK_BITS // 8, np.uint8)
+    for (x,) in wanted.mapInArrow(tidy(_mask), "bits binary").repartition(8).mapInArrow(tidy(_or), "bits binary").collect():  # 8 masks
+        bits |= np.frombuffer(x, np.uint8)
+    picked = chunks.select("different", "texts", "bounds").mapInArrow(tidy(_pick(bits)), "h long, line binary")
+    texts = written(picked.join(wanted, "h", "left_semi").dropDuplicates(["h"]), f"{scratch}/texts")
     with_a = pairs.join(texts.withColumnsRenamed({"h": "a", "line": "la"}), "a")
     with_b = with_a.join(texts.withColumnsRenamed({"h": "b", "line": "lb"}), "b").select("a", "b", "la", "lb")
-    close = with_b.mapInArrow(_verify, "u long, v long")
-    crowded = crowds.join(texts, "h").select("key", "h", "line").repartition("key").sortWithinPartitions("key", "h").mapInArrow(_connect, "u long, v long")
+    close = with_b.mapInArrow(tidy(_verify), "u long, v long")
+    crowded = crowds.join(texts, "h").select("key", "h", "line").repartition("key").sortWithinPartitions("key", "h").mapInArrow(tidy(_connect), "u long, v long")
     links = written(close.union(crowded), f"{scratch}/links")
     roots = components(links)
 
-    rows = lines.select("id", "t", "pos", "h").join(roots, F.col("h") == F.col("node"), "left")
+    lines = chunks.select("ids", "t", "doc", "place", "h").mapInArrow(tidy(_rows), f"id {kind}, t long, pos int, h long")
+    rows = lines.join(roots, F.col("h") == F.col("node"), "left")
     rows = written(rows.select("id", "t", "pos", F.coalesce("root", "h").alias("g")), f"{scratch}/rows")
     first = written(rows.groupBy("g").agg(F.min(F.struct("id", "t", "pos")).alias("first")), f"{scratch}/first")
     out = rows.join(first, "g")

@@ -8,10 +8,13 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer document is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Which bytes are ASCII white space, and bytes with A to Z in lower case.
+SPACE_BYTES = np.zeros(256, bool)
+SPACE_BYTES[[0x20, *range(0x09, 0x0E)]] = True
+LOWER_BYTES = np.arange(256, dtype=np.uint8)
+LOWER_BYTES[0x41:0x5B] += 32
 #: 1 letter, 2 digit, 3 another sign; 0 white space, control characters and all that isn't ASCII.
 _KIND = np.zeros(256, np.uint8)
 _KIND[0x21:0x7F] = 3
@@ -42,7 +45,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None =
     """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = ~_SPACE[data]
+    word = ~SPACE_BYTES[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
@@ -93,7 +96,7 @@ def cut_bounds(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None =
     """
     if not len(data):
         return np.zeros(0, np.int64)
-    space = _SPACE[data]
+    space = SPACE_BYTES[data]
     at = np.flatnonzero(space)
     at = at[at > 0]
     b1 = data[at - 1]
