@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch, in place of Spark's 10,000: rows are whole texts, and a task holds several batches at once.
+BATCH_ROWS_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+#: Parquet settings for rows of megabytes.
+BLOB_OPTIONS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "compression": "zstd"}
+
 #: A table of at most so many short rows may be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 20_000
 
@@ -20,9 +26,12 @@ BROADCAST_ROWS = 20_000
 def shared_dir(spark: SparkSession) -> str:
     """A new folder, as a URI, that the driver and all executors see, removed when the application ends.
 
-    It lies in ``spark.checkpoint.dir``.  Only a local master may do without that setting (tests):
+    Every operator on texts asks for one first, so this is also where batches are made smaller.  The folder lies in
+    ``spark.checkpoint.dir``.  Only a local master may do without that setting (tests):
     it gets a temporary folder.
     """
+    if spark.conf.get(BATCH_ROWS_CONF) == "10000":  # the session's own choice stays
+        spark.conf.set(BATCH_ROWS_CONF, str(BATCH_ROWS))
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
@@ -50,9 +59,16 @@ def remove(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """Write a table and read it again: cuts the lineage in storage that outlives any executor."""
-    df.write.mode("overwrite").parquet(path)
+def written(df: DataFrame, path: str, blobs: bool = False) -> DataFrame:
+    """Write a table and read it again: cuts the lineage in storage that outlives any executor.
+
+    ``blobs`` says that a row has megabytes: pages and row groups are then measured at each row, not after a
+    hundred, so that a writer or reader holds a few rows.
+    """
+    writer = df.write.mode("overwrite")
+    for name, value in BLOB_OPTIONS.items() if blobs else ():
+        writer = writer.option(name, value)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

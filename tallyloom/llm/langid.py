@@ -21,11 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import checked_broadcast, shared_dir, written
+from tallyloom.llm.common import checked_broadcast, shared_dir, tidy, written
 from tallyloom.llm.textbytes import text_slices
 
 #: Cells of the hashed trigram model per language, the trigrams a text counts as at most, strength of each smoothing step.
@@ -50,18 +49,18 @@ class TextModel:
 
 def _trigrams(column: pa.Array):
     """(cells, row of each, rows) of consecutive rows: trigrams of letters and the spaces between words."""
-    column = pc.utf8_lower(column)
-    for data, offsets in text_slices(column, 4 << 20):
-        x = _LETTER[data].astype(np.uint32)
+    for data, offsets in text_slices(column, 1 << 20):
+        x = _LETTER[data]
         if len(x) < 3:
-            yield np.zeros(0, np.int64), np.zeros(0, np.int64), len(offsets) - 1
+            yield np.zeros(0, np.int32), np.zeros(0, np.int32), len(offsets) - 1
             continue
-        word = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
-        first = np.arange(len(word))
-        row = np.searchsorted(offsets, first, "right") - 1
-        fine = (first + 3 <= offsets[row + 1]) & ((x[:-2] != 0x20) | (x[1:-1] != 0x20)) & ((x[1:-1] != 0x20) | (x[2:] != 0x20))
-        cells = ((word[fine] * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int64)
-        yield cells, row[fine], len(offsets) - 1
+        word = x.astype(np.uint32)
+        word = word[:-2] << 16 | word[1:-1] << 8 | word[2:]
+        row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+        blank = x == 0x20
+        fine = (row[:-2] == row[2:]) & ~(blank[:-2] & blank[1:-1]) & ~(blank[1:-1] & blank[2:])
+        cells = ((word[fine] * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int32)
+        yield cells, row[:-2][fine], len(offsets) - 1
 
 
 def train_text_model(docs: DataFrame, label_col: str = "lang", text_col: str = "text") -> TextModel:
@@ -89,7 +88,7 @@ def train_text_model(docs: DataFrame, label_col: str = "lang", text_col: str = "
 
     counts = np.ones(len(labels) * CELLS)
     if labels:
-        for cell, n in rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():  # at most CELLS per language
+        for cell, n in rows.mapInArrow(tidy(count), "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():  # at most CELLS per language
             counts[cell] += n
     counts = counts.reshape(len(labels), CELLS)
     logp = np.log(counts / counts.sum(axis=1, keepdims=True))
@@ -113,7 +112,7 @@ def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             declared = [m[1].lower() if (m := _DECLARED.search(x)) else "" for x in sources]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(declared, pa.string())], names=["id", "host", "text", "declared"])
 
-    rows = raw.mapInArrow(strip, f"id {kind}, host string, text string, declared string")
+    rows = raw.mapInArrow(tidy(strip), f"id {kind}, host string, text string, declared string")
     return rows.select("id", "text", "declared", "host", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("domain"), F.regexp_extract("host", r"([^.]+)$", 1).alias("suffix"))
 
 
@@ -146,7 +145,7 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(total) * size + 1, size, dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(n), lists], names=["id", "declared", "host", "domain", "suffix", "n", "ll"])
 
-    scored = base.mapInArrow(score, f"id {kind}, declared string, host string, domain string, suffix string, n long, ll array<double>")
+    scored = base.mapInArrow(tidy(score), f"id {kind}, declared string, host string, domain string, suffix string, n long, ll array<double>")
     top = F.array_max("ll")
     odds = F.transform("ll", lambda x: F.exp(x - F.col("top")))
     scored = scored.withColumn("top", top).withColumn("odds", odds).withColumn("all", F.aggregate("odds", F.lit(0.0), lambda a, x: a + x))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import checked_broadcast, shared_dir, written
+from tallyloom.llm.common import checked_broadcast, shared_dir, tidy, written
 from tallyloom.llm.tokens import PartTokenizer, with_end
 
 CAPACITY = 2048
@@ -199,7 +199,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, words: bool = False,
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     more = ", ids array<long>" if with_ids else ""
-    pieces = written(rows.mapInArrow(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part int, class int, rank long{more}"), f"{scratch}/pieces")
+    pieces = written(rows.mapInArrow(tidy(cut), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part int, class int, rank long{more}"), f"{scratch}/pieces")
     counts = written(pieces.groupBy("part", "class").agg(F.count("*").alias("n")), f"{scratch}/counts")
     demand = np.zeros(len(sizes), np.int64)
     for c, n in counts.groupBy("class").agg(F.sum("n")).collect():  # a row per class
@@ -223,7 +223,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, words: bool = False,
 
     keep = ["id", "start", "length", "ids_crc32", "doc_tokens", "class", *(["ids"] if with_ids else [])]
     placed = ranked.select(*keep, (F.col("base") + F.col("rank")).alias("place"))
-    placed = placed.mapInArrow(assign, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, class int{more}, sequence_id long, slot long")
+    placed = placed.mapInArrow(tidy(assign), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, class int{more}, sequence_id long, slot long")
     ahead = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "slot").rowsBetween(Window.unboundedPreceding, -1)
     out = placed.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)))
     return out.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else []))

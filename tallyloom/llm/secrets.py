@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import tidy
 from tallyloom.llm.textbytes import text_slices
 
 #: Least and most length of a run that is a candidate, bytes of context on each side.
@@ -246,7 +247,9 @@ def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
         for batch in batches:
             at = 0
             for data, offsets in text_slices(batch.column(2)):
-                raw, docs_n = data.tobytes(), len(offsets) - 1
+                docs_n = len(offsets) - 1
+                data, offsets = np.insert(data, offsets[1:], 0x0A), offsets + np.arange(docs_n + 1)  # no pattern joins two documents
+                raw = data.tobytes()
                 found = list(_candidates(data, offsets))
                 if found:
                     doc = np.searchsorted(offsets, [a for _, a, _ in found], "right") - 1
@@ -265,4 +268,4 @@ def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
                     yield pa.RecordBatch.from_arrays(columns, names=["id", "rule", "start", "length", "sha256", "probability", "is_secret"])
                 at += docs_n
 
-    return rows.mapInArrow(find, f"`{id_col}` {kind}, rule string, start long, length long, sha256 string, probability double, is_secret boolean")
+    return rows.mapInArrow(tidy(find), f"`{id_col}` {kind}, rule string, start long, length long, sha256 string, probability double, is_secret boolean")

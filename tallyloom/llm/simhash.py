@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import shared_dir, written
+from tallyloom.llm.common import shared_dir, tidy, written
 from tallyloom.llm.components import components
 from tallyloom.llm.textbytes import text_slices, word_bounds
 
@@ -220,8 +220,8 @@ def near_links(fps: DataFrame) -> DataFrame:
         if found:
             yield flush()
 
-    keyed = fps.select("fp").mapInArrow(emit, "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(link, "u long, v long")
+    keyed = fps.select("fp").mapInArrow(tidy(emit), "key long, fp long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(link), "u long, v long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -239,7 +239,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1), shingle).view(np.int64))], names=["id", "fp"])
 
-    fps = written(rows.mapInArrow(hashed, f"id {docs.schema[id_col].dataType.simpleString()}, fp long"), f"{scratch}/fps")
+    fps = written(rows.mapInArrow(tidy(hashed), f"id {docs.schema[id_col].dataType.simpleString()}, fp long"), f"{scratch}/fps")
     nodes = written(fps.groupBy("fp").agg(F.min("id").alias("least")), f"{scratch}/nodes")
     links = written(near_links(nodes), f"{scratch}/links")
     roots = components(links)

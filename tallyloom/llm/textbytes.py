@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: Which bytes are ASCII white space, and bytes with A to Z in lower case.
 SPACE_BYTES = np.zeros(256, bool)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import written
+from tallyloom.llm.common import tidy, written
 from tallyloom.llm.tokens import PartTokenizer, with_end
 
 SEQ_LEN, BATCH_ROWS = 2048, 64
@@ -111,7 +111,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
             shard.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int64()), "uri": [shard.uri], "docs": pa.array([shard.docs], pa.int64()), "ids": pa.array([shard.ids], pa.int64()), "sequences": pa.array([shard.sequences], pa.int64())})
 
-    shards = written(rows.mapInArrow(write, "shard long, uri string, docs long, ids long, sequences long"), f"{folder}/shards")
+    shards = written(rows.mapInArrow(tidy(write), "shard long, uri string, docs long, ids long, sequences long"), f"{folder}/shards")
     # One row per shard: a task wrote each, so one more task can order them.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
@@ -129,7 +129,7 @@ def read_documents(shards: DataFrame, id_type: str, id_col: str = "doc_id") -> D
                 yield from _digests(row["uri"], row["base"])
 
     n = max(1, shards.count())
-    return shards.select("shard", "uri", "base").repartition(n, "shard").mapInArrow(read, f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")
+    return shards.select("shard", "uri", "base").repartition(n, "shard").mapInArrow(tidy(read), f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def _digests(uri: str, base: int):

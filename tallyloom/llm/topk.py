@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import checked_broadcast, shared_dir, written
+from tallyloom.llm.common import checked_broadcast, shared_dir, tidy, written
 
 #: Rows of a block of queries and of a slab of candidates, and bins per round.
 QUERY_ROWS, SLAB_ROWS, BINS = 512, 16384, 4096
@@ -66,7 +66,7 @@ def _blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
             if len(i):
                 yield out(dim, i, f)
 
-    return df.mapInArrow(pack, f"{name} long, dim int, ids binary, mat binary")
+    return df.mapInArrow(tidy(pack), f"{name} long, dim int, ids binary, mat binary")
 
 
 def _scores(q_mat: bytes, c_mat: bytes, dim: int) -> np.ndarray:
@@ -111,13 +111,13 @@ def exact_topk(vectors: DataFrame, k: int, query, id_col: str = "vec_id", vector
     while True:
         n += 1
         packed = _by_block(states)
-        counts = met.join(packed, "block").mapInArrow(_counter(width, span), "block long, at long, bin long, n long")
+        counts = met.join(packed, "block").mapInArrow(tidy(_counter(width, span)), "block long, at long, bin long, n long")
         counts = counts.groupBy("block", "at", "bin").agg(F.sum("n").alias("n"))
         states = written(_narrowed(states, counts, width), f"{scratch}/state{n}")
         if width == 1:
             break
         span, width = width, max(1, math.ceil(width / bins))
-    best = met.join(_by_block(states), "block").mapInArrow(_chooser(k), "block long, at long, query long, id long, score long")
+    best = met.join(_by_block(states), "block").mapInArrow(tidy(_chooser(k)), "block long, at long, query long, id long, score long")
     order = Window.partitionBy("block", "at").orderBy(F.desc("score"), "id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(F.col("query").alias("query_id"), "rank", F.col("id").cast(vectors.schema[id_col].dataType).alias(id_col), "score")
@@ -132,7 +132,7 @@ def _first_states(blocks: DataFrame, k: int) -> DataFrame:
                 ids = np.frombuffer(ids, "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block)), pa.array(np.arange(len(ids))), pa.array(ids), pa.array(np.full(len(ids), k))], names=["block", "at", "query", "want"])
 
-    return blocks.select("block", "ids").mapInArrow(spread, "block long, at long, query long, want long")
+    return blocks.select("block", "ids").mapInArrow(tidy(spread), "block long, at long, query long, want long")
 
 
 def _by_block(states: DataFrame) -> DataFrame:
