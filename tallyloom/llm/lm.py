@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import remove, shared_dir, written
+from tallyloom.llm.common import remove, shared_dir, tidy, written
 from tallyloom.llm.gru import Model, Shape, initial
 from tallyloom.llm.textbytes import text_slices, word_bounds, words_array
 
@@ -142,14 +142,14 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     scratch = shared_dir(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chunks = written(rows.mapInArrow(_encode, f"chunk long, ids array<{kind}>, held binary, lengths binary, codes binary, words binary, bounds binary, counts binary"), f"{scratch}/chunks")
+    chunks = written(rows.mapInArrow(tidy(_encode), f"chunk long, ids array<{kind}>, held binary, lengths binary, codes binary, words binary, bounds binary, counts binary"), f"{scratch}/chunks", blobs=True)
     n_train, n_chunks = (rows.agg(F.sum((~F.col("held")).cast("long"))).first()[0] or 0), chunks.count()
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = chunks.select("chunk", "words", "bounds", "counts").mapInArrow(_send(parts), "part long, chunk long, words binary, bounds binary, places binary, counts binary")
-    counted = written(sent.repartition(parts, "part").mapInArrow(_count(top), "kind int, n long, a binary, b binary"), f"{scratch}/counted")
+    sent = chunks.select("chunk", "words", "bounds", "counts").mapInArrow(tidy(_send(parts)), "part long, chunk long, words binary, bounds binary, places binary, counts binary")
+    counted = written(sent.repartition(parts, "part").mapInArrow(tidy(_count(top)), "kind int, n long, a binary, b binary"), f"{scratch}/counted")
 
     frequent = [(bytes(r[1]), r[0]) for r in counted.filter("kind = 1").select("n", "a").orderBy(F.desc("n"), "a").limit(top).collect()]
-    bands = counted.filter("kind = 2").select("a", "b").mapInArrow(_sum_bands, "band long, words long, tokens long, twice long")
+    bands = counted.filter("kind = 2").select("a", "b").mapInArrow(tidy(_sum_bands), "band long, words long, tokens long, twice long")
     words_in, tokens_in, twice = np.zeros(64, np.int64), np.zeros(64, np.int64), 0
     for band, w, t, two in bands.groupBy("band").agg(F.sum("words"), F.sum("tokens"), F.sum("twice")).collect():  # 64 rows
         words_in[band], tokens_in[band], twice = w, t, twice + two
@@ -193,9 +193,7 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
 
     replies = counted.filter("kind = 0").groupBy(F.col("n").alias("chunk")).agg(F.collect_list(F.struct("a", "b")).alias("replies"))
     joined = chunks.join(replies, "chunk", "left").select("chunk", "ids", "held", "lengths", "codes", "words", "bounds", "replies")
-    ready = joined.mapInArrow(prepare, f"chunk long, ids array<{kind}>, held binary, lengths binary, stream binary, base binary, known binary, tail binary")
-    ready.write.option("compression", "zstd").parquet(f"{scratch}/ready")
-    ready = spark.read.schema(ready.schema).parquet(f"{scratch}/ready")
+    ready = written(joined.mapInArrow(tidy(prepare), f"chunk long, ids array<{kind}>, held binary, lengths binary, stream binary, base binary, known binary, tail binary"), f"{scratch}/ready", blobs=True)
     for done in ("chunks", "counted"):
         remove(spark, f"{scratch}/{done}")
 
@@ -211,7 +209,7 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
                 columns = [batch.column(1)[i].values, held, lengths.astype(np.int64), known, np.full(len(held), n_tokens, np.int64), base, logs]
                 yield pa.RecordBatch.from_arrays([columns[0], *map(pa.array, columns[1:])], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return ready.mapInArrow(score, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return ready.mapInArrow(tidy(score), f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _trained(chunks: DataFrame, weights: np.ndarray, shape: Shape, n: int, scratch: str) -> np.ndarray:
@@ -243,11 +241,11 @@ def _trained(chunks: DataFrame, weights: np.ndarray, shape: Shape, n: int, scrat
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], names=["w", "n"])
 
         one = staged.filter(F.col("round") == r).select("held", "lengths", "stream")
-        sums = written(one.mapInArrow(learn, "w binary, n long"), f"{scratch}/{r}")
+        sums = written(one.mapInArrow(tidy(learn), "w binary, n long"), f"{scratch}/{r}")
         level, k = sums.count(), 0
         while level > 32:  # a tree of sums, so that the driver gets a few
             k += 1
-            sums = written(sums.repartition(-(-level // 32)).mapInArrow(_add, "w binary, n long"), f"{scratch}/{r}-{k}")
+            sums = written(sums.repartition(-(-level // 32)).mapInArrow(tidy(_add), "w binary, n long"), f"{scratch}/{r}-{k}")
             level = -(-level // 32)
         total, tokens = np.zeros(len(weights)), 0
         for w, t in sums.collect():
