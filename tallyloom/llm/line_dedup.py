@@ -105,7 +105,7 @@ def _chunk(batches):
     digest = xxhash.xxh64_intdigest
     for batch in batches:
         at = 0
-        for data, offsets in text_slices(batch.column(1), 4 << 20):
+        for data, offsets in text_slices(batch.column(1)):
             docs = len(offsets) - 1
             whole = data.tobytes()
             t = np.array([digest(whole[a:b], 42) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint64)
@@ -205,35 +205,44 @@ def _meet(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys[large].view(np.int64)), pa.array(ids[large]), pa.nulls(int(large.sum()), pa.int64())], names=["key", "a", "b"])
 
 
-def _sets(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The lines' sets of shingles, sorted, one after the other, and where each begins and the last ends."""
+def _salts(n: int) -> np.ndarray:
+    """A number per line that tells its shingles from other lines' when mixed in."""
+    return _mixed(np.arange(1, n + 1, dtype=np.uint64))
+
+
+def _sets(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, bounds, members): each line's different shingles one after the other, where each line's begin and
+    the last's end, and all of them with their lines' salts, sorted."""
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
     x, line = _shingles(np.frombuffer(b"".join(lines), np.uint8), offsets)
-    order = np.lexsort((x, line))
-    x, line = x[order], line[order]
+    salted = x ^ _salts(len(lines))[line]
+    order = np.argsort(salted)
+    members = salted[order]
     fresh = np.ones(len(x), bool)
-    fresh[1:] = (x[1:] != x[:-1]) | (line[1:] != line[:-1])
-    return x[fresh], np.searchsorted(line[fresh], np.arange(len(lines) + 1))
+    fresh[1:] = members[1:] != members[:-1]
+    keep = np.sort(order[fresh])
+    x, line = x[keep], line[keep]
+    if len(line) and (line[1:] < line[:-1]).any():  # short lines come last
+        order = np.argsort(line, kind="stable")
+        x, line = x[order], line[order]
+    return x, np.searchsorted(line, np.arange(len(lines) + 1)), members[fresh]
 
 
 def similar_pairs(lines: list[bytes], a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
     """For each pair of places in ``lines``, whether the Jaccard similarity of their shingle sets is at least that."""
-    sets, bounds = _sets(lines)
-    size = np.diff(bounds)
+    sets, bounds, members = _sets(lines)
+    size, salt = np.diff(bounds), _salts(len(lines))
     out = np.zeros(len(a), bool)
     fits = np.flatnonzero(np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]))
-    # A set's members are told from other sets' by a number of the line mixed in.
-    salt = _mixed(np.arange(1, len(lines) + 1, dtype=np.uint64))
-    members = np.sort(sets ^ np.repeat(salt, size))
     for k in range(0, len(fits), 2048):
         own = fits[k : k + 2048]
         n = size[a[own]]
         pair = np.repeat(np.arange(len(own)), n)
         x = sets[np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + bounds[a[own]][pair]] ^ salt[b[own]][pair]
         order = np.argsort(x)  # sorted searches stay in the cache
-        found = np.zeros(len(x), bool)
-        found[order] = members[np.minimum(np.searchsorted(members, x[order]), len(members) - 1)] == x[order]
-        both = np.bincount(pair, found, len(own))
+        x = x[order]
+        found = members[np.minimum(np.searchsorted(members, x), len(members) - 1)] == x
+        both = np.bincount(pair[order[found]], minlength=len(own))
         out[own] = both >= least * (n + size[b[own]] - both)
     return out
 
@@ -255,7 +264,7 @@ def _connect(batches):
     key, ids, lines = None, [], []
 
     def forest():
-        flat, bounds = _sets(lines)
+        flat, bounds, _ = _sets(lines)
         size, rest, out = np.diff(bounds), np.arange(len(ids)), []
         of = np.repeat(rest, size)
         while len(rest):
@@ -280,8 +289,8 @@ def _connect(batches):
 
     def flush():
         nonlocal sets_of
-        flat, bounds = _sets(lines)
-        sets_of = np.split(flat, bounds[1:-1])
+        flat, bounds, _ = _sets(lines)
+        sets_of = [np.sort(x) for x in np.split(flat, bounds[1:-1])]
         return forest()
 
     sets_of: list[np.ndarray] = []
@@ -310,7 +319,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blobs = ("t", "doc", "place", "h", "different", "keys", "texts", "bounds")
-    chunks = written(source.mapInArrow(tidy(_chunk), f"ids array<{kind}>, " + ", ".join(f"{b} binary" for b in blobs)), f"{scratch}/chunks")
+    chunks = written(source.mapInArrow(tidy(_chunk), f"ids array<{kind}>, " + ", ".join(f"{b} binary" for b in blobs)), f"{scratch}/chunks", blobs=True)
     n = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = chunks.select("different", "keys").mapInArrow(tidy(_emit(n)), "part long, keys binary, ids binary")
     met = written(packed.repartition(n, "part").mapInArrow(tidy(_meet), "key long, a long, b long"), f"{scratch}/met")
@@ -324,7 +333,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     picked = chunks.select("different", "texts", "bounds").mapInArrow(tidy(_pick(bits)), "h long, line binary")
     texts = written(picked.join(wanted, "h", "left_semi").dropDuplicates(["h"]), f"{scratch}/texts")
     with_a = pairs.join(texts.withColumnsRenamed({"h": "a", "line": "la"}), "a")
-    with_b = with_a.join(texts.withColumnsRenamed({"h": "b", "line": "lb"}), "b").select("a", "b", "la", "lb")
+    with_b = with_a.join(texts.withColumnsRenamed({"h": "b", "line": "lb"}), "b").select("a", "b", "la", "lb").sortWithinPartitions("a")
     close = with_b.mapInArrow(tidy(_verify), "u long, v long")
     crowded = crowds.join(texts, "h").select("key", "h", "line").repartition("key").sortWithinPartitions("key", "h").mapInArrow(tidy(_connect), "u long, v long")
     links = written(close.union(crowded), f"{scratch}/links")
