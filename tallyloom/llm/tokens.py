@@ -15,7 +15,7 @@ import pyarrow as pa
 from tallyloom.llm.textbytes import cut_bounds, grouped_take, kind_cuts, text_slices, word_bounds, words_array
 
 #: Entries of a worker's cache of encoded parts, and the longest part that is kept.
-CACHE_ENTRIES, CACHE_PART_BYTES = 300_000, 48
+CACHE_ENTRIES, CACHE_PART_BYTES = 200_000, 48
 
 
 class PartTokenizer:
@@ -32,32 +32,33 @@ class PartTokenizer:
         tokens = map(self.tokenizer.id_to_token, range(size))
         self.edge = np.fromiter(((t or "").endswith("</w>") if words else (t or "").startswith("\u0120") for t in tokens), bool, size)
 
-    def _each(self, parts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def _each(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _joined(self, parts: list[str]) -> list[np.ndarray]:
+    def _joined(self, parts: list[str]) -> list[bytes]:
         """Ids of parts of letters only, encoded in one text: their ends or starts show in the ids."""
-        ids = self._each([(" " if self.words else "").join(parts)])[0]
+        ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.words else "").join(parts)], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(self.edge[ids])
         if len(cuts) != len(parts):
             return self._each(parts)
-        return np.split(ids, cuts[:-1] + 1 if self.words else cuts[1:])
+        raw, ends = ids.tobytes(), (4 * (cuts + 1 if self.words else np.append(cuts[1:], len(ids)))).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _ids(self, parts: list[bytes]) -> list[bytes]:
-        got = list(map(self.cache.get, parts))
+        cache = self.cache
+        got = list(map(cache.get, parts))
         plain, other = [], []
-        for i in (i for i, x in enumerate(got) if x is None):
-            text = parts[i].decode()
-            if text.isalpha() if self.words else text[:1] == " " and text[1:].isalpha():
-                plain.append((i, text))
-            else:
-                other.append((i, text))
+        for i, x in enumerate(got):
+            if x is None:
+                text = parts[i].decode()
+                (plain if (text.isalpha() if self.words else text[:1] == " " and text[1:].isalpha()) else other).append((i, text))
         for new, encode in ((plain, self._joined), (other, self._each)):
             for at in range(0, len(new), 512):
-                for (i, _), ids in zip(new[at : at + 512], encode([t for _, t in new[at : at + 512]]), strict=True):
-                    got[i] = ids.tobytes()
-                    if len(self.cache) < CACHE_ENTRIES and len(parts[i]) <= CACHE_PART_BYTES:
-                        self.cache[parts[i]] = got[i]
+                own = new[at : at + 512]
+                for (i, _), ids in zip(own, encode([t for _, t in own]), strict=True):
+                    got[i] = ids
+                    if len(cache) < CACHE_ENTRIES and len(parts[i]) <= CACHE_PART_BYTES:
+                        cache[parts[i]] = ids
         return got
 
     def encode(self, column: pa.Array):
