@@ -86,11 +86,12 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(fresh)[0], keys[fresh]
 
 
-def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """SimHash of each text: words in lower case (A to Z), shingles with repeats, XXH64 with seed 42, majority per bit."""
+def shingles(column: pa.Array, shingle: int = SHINGLE):
+    """(hash of each shingle, its document, shingles of each document) of slices of texts: words in lower case (A to Z),
+    shingles with repeats, XXH64 with seed 42; a shorter text that isn't blank is one shingle."""
     import xxhash
 
-    digest, out = xxhash.xxh64_intdigest, []
+    digest = xxhash.xxh64_intdigest
     lower = np.arange(256, dtype=np.uint8)
     lower[0x41:0x5B] += 32
     for data, offsets in text_slices(column, 2 << 20):
@@ -111,8 +112,14 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
         last = first + np.minimum(words[doc], shingle) - 1
         raw = text.tobytes()
         begin, end = (after - lengths)[first].tolist(), (after - 1)[last].tolist()
-        hashes = np.fromiter((digest(raw[a:b], 42) for a, b in zip(begin, end, strict=True)), np.uint64, len(doc))
-        counts = np.zeros((len(words), 64), np.int64)
+        yield np.fromiter((digest(raw[a:b], 42) for a, b in zip(begin, end, strict=True)), np.uint64, len(doc)), doc, n
+
+
+def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """SimHash of each text: majority per bit of its shingles' hashes."""
+    out = []
+    for hashes, doc, n in shingles(column, shingle):
+        counts = np.zeros((len(n), 64), np.int64)
         for k in range(0, len(doc), 1 << 17):
             bits = np.unpackbits(hashes[k : k + (1 << 17)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             of = doc[k : k + (1 << 17)]

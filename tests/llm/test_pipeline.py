@@ -48,6 +48,38 @@ def test_lines_leave_clean_documents_alone(spark, docs):
         assert sorted(map(tuple, out.select("doc_id", "text").collect())) == sorted(map(tuple, clean.select("doc_id", "text").collect()))
 
 
+def test_near_copies_go(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    made = []
+    for k in range(20):  # pairs at 0.8 and above that 3 bits of 64 don't link, and pairs just below
+        base = [word() for _ in range(94)]
+        made += [(10 * k, base), (10 * k + 1, base[:40] + [word()] + base[41:70] + [word()] + base[71:]), (10 * k + 2, [word() for _ in range(94)])]
+        made += [(10 * k + 3, made[-1][1][:20] + [word()] + made[-1][1][21:40] + [word()] + made[-1][1][41:60] + [word()] + made[-1][1][61:])]
+    base = [word() for _ in range(94)]
+    for k in range(40):  # a crowd, of which not all pairs are similar
+        at = rng.randrange(94)
+        made.append((1000 + k, base[:at] + [word()] + base[at + 1 :]))
+    docs = spark.createDataFrame([(i, " ".join(x), "en", "s", 1) for i, x in made] + [(2000, " ", "en", "s", 1), (2001, None, "en", "s", 1), (2002, "One two", "en", "s", 1), (2003, "one  TWO", "en", "s", 1)], COLUMNS)
+    docs = docs.repartition(3)
+    sets = {r.doc_id: {tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} if (x := (r.text or "").lower().split()) else set() for r in docs.collect()}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    kept = {r.doc_id for r in corpus_pipeline.simhash(spark, docs, "").collect()}
+    assert kept == {i for i in sets if root(i) == i}
+    assert all({10 * k, 10 * k + 2, 10 * k + 3} <= kept and 10 * k + 1 not in kept for k in range(20))
+
+
 def test_empty(spark, docs):
     now = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
