@@ -8,9 +8,8 @@ from html.parser import HTMLParser
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Elements without visible text, the longest text of a page, the class of a result's link.
+# Elements without visible text, the class of a result's link.
 HIDDEN = ("script", "style", "noscript", "svg", "template")
-LONGEST = 6000
 RESULT_CLASS = "result__a"
 _BLANK = re.compile(r"\s+")
 
@@ -53,8 +52,8 @@ class _Links(HTMLParser):
             self.href = None
 
 
-def visible(html: str | None, limit: int = LONGEST) -> str | None:
-    """Text outside hidden elements, white space collapsed, cut to ``limit``; null if there is none."""
+def visible(html: str | None, limit: int | None = None) -> str | None:
+    """Text outside hidden elements, white space collapsed, cut to ``limit`` if there is one; null if there is none."""
     parser = _Visible()
     parser.feed(html or "")
     parser.close()
@@ -69,9 +68,9 @@ def links(html: str | None) -> list[dict]:
     return parser.found
 
 
-def visible_text(html: Column) -> Column:
-    """Visible text of whole pages, a batch at a time."""
-    return F.pandas_udf(lambda x: x.map(visible), "string", F.PandasUDFType.SCALAR)(html)
+def visible_text(html: Column, limit: int | None = None) -> Column:
+    """Visible text of whole pages, a batch at a time; a reader that has room for a prompt only gives a ``limit``."""
+    return F.pandas_udf(lambda x: x.map(lambda page: visible(page, limit)), "string", F.PandasUDFType.SCALAR)(html)
 
 
 def result_links(html: Column) -> Column:

@@ -188,6 +188,12 @@ def test_payloads(spark):
     assert [g and g.text for g in got] == ["a", "b", None, None] and got[1].metadata == '{"n":1}'
 
 
+def test_visible_text_of_a_long_page(spark):
+    df = spark.createDataFrame([("<p>" + "word " * 3000 + "end</p>",)], "html string")
+    r = df.select(web.visible_text(F.col("html")).alias("whole"), web.visible_text(F.col("html"), 6000).alias("cut")).first()
+    assert r.whole == "word " * 3000 + "end" and r.cut == r.whole[:6000]
+
+
 def test_html():
     assert web.visible("<svg><svg>no</svg>no</svg><p>a &amp; <b>b</b></p><script>x</script>") == "a & b"
     assert web.visible("<style>x</style>") is None and web.visible(None) is None
