@@ -1,7 +1,7 @@
 """Operator 8: secret scans whose findings a random forest tells from false positives.
 
-A candidate is a run of token characters of some length with more than letters of one case, a quoted value after a
-name such as ``password``, or a private-key block.  The forest looks at the candidate's length and character
+A candidate is a run of token characters of some length with more than letters of one case, a value after a name such
+as ``password``, or a private-key block; of a very long run, the parts between separators too.  The forest looks at the candidate's length and character
 classes, how often those change, how likely its letter pairs are in words and how much of it dictionary words
 cover, at the path, and at the words around it.  It is trained on labelled findings; without such, on findings that
 are generated from a seed.  A result has places and hashes, never the secret itself.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import tidy
 from tallyloom.llm.textbytes import text_slices
 
-#: Least and most length of a run that is a candidate, bytes of context on each side.
+#: Least length of a run that is a candidate, length beyond which a run's parts are candidates too, bytes of context on each side.
 LEAST, MOST, CONTEXT = 16, 512, 64
 #: Generated findings, most labelled findings, trees, depth, words of the dictionary.
 GENERATED, MOST_LABELLED, TREES, DEPTH, DICTIONARY = 6000, 50_000, 31, 9, 4096
@@ -35,7 +35,12 @@ TEST_PATHS = ("test", "example", "sample", "fixture", "doc", "mock", "spec")
 
 _RUN = np.zeros(256, bool)
 _RUN[[ord(c) for c in string.ascii_letters + string.digits + "_-+/="]] = True
-_NAMED = re.compile(rb"""(?i)\b(?:password|passwd|pwd|secret)\b["']?\s{0,3}(?::|=>?)\s{0,3}(?:"([^"\s]{6,80})"|'([^'\s]{6,80})')""")
+# The value is looked at but not passed, so that a name in it has its own match.
+_NAMED = re.compile(
+    rb"""(?i)(?:password|passwd|passphrase|pwd|secret|token|bearer|auth|credentials?|signature|(?:api|access|private|secret|auth)[_-]?key|(?<![a-z])key)\d*\b["']?\s{0,3}(?::|=>?)"""
+    rb"""(?=\s{0,3}"([^"\s]{6,})"|\s{0,3}'([^'\s]{6,})'|[ \t]{0,3}([^"'\s]{6,}))"""
+)
+_APART = (re.compile(rb"[^=/]+"), re.compile(rb"[^-=/+_]+"))
 _BLOCK = re.compile(rb"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")
 _WORD = re.compile(r"[a-z0-9]+")
 _PARTS = re.compile(r"[A-Za-z]{3,}")
@@ -215,19 +220,28 @@ def _candidates(data: np.ndarray, offsets: np.ndarray):
     first[begins] = run[begins]
     last[begins - 1] = run[begins - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    fit = (ends - starts >= LEAST) & (ends - starts <= MOST)
-    for a, b in zip(starts[fit].tolist(), ends[fit].tolist(), strict=True):
-        while a < b and raw[a] in b"=-/+_":
-            a += 1
-        while a < b and raw[b - 1] in b"-/+_":
-            b -= 1
-        part = raw[a:b]
-        if len(part) >= LEAST and not (part[1:].islower() and part.isalpha() or part.isalpha() and part.isupper()):
-            yield "token", a, b
+    fit = ends - starts >= LEAST
+    seen: set[tuple[int, int]] = set()
+    for low, high in zip(starts[fit].tolist(), ends[fit].tolist(), strict=True):
+        spans = [(low, high)]
+        if high - low > MOST:
+            spans += [m.span() for apart in _APART for m in apart.finditer(raw, low, high)]
+        for a, b in spans:
+            whole = a, b
+            while a < b and raw[a] in b"=-/+_":
+                a += 1
+            while a < b and raw[b - 1] in b"-/+_":
+                b -= 1
+            part = raw[a:b]
+            if len(part) >= LEAST and (a, b) not in seen and not (part[1:].islower() and part.isalpha() or part.isalpha() and part.isupper()):
+                seen |= {whole, (a, b)}
+                yield "token", a, b
     docs = np.asarray(offsets)
     for m in _NAMED.finditer(raw):
         a, b = m.span(m.lastindex)
-        if np.searchsorted(docs, m.start(), "right") == np.searchsorted(docs, m.end() - 1, "right") and not (b - a >= LEAST and bool(run[a:b].all())):
+        b = a + len(raw[a:b].rstrip(b",;")) if m.lastindex == 3 else b
+        if b - a >= 6 and np.searchsorted(docs, m.start(), "right") == np.searchsorted(docs, b - 1, "right") and (a, b) not in seen:
+            seen.add((a, b))
             yield "named", a, b
     for m in _BLOCK.finditer(raw):
         if np.searchsorted(docs, m.start(), "right") == np.searchsorted(docs, m.end() - 1, "right"):
@@ -238,7 +252,7 @@ def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
     """id, rule, start, length (code points), sha256, probability, is_secret for each candidate in whole texts.
 
     A private-key block is always a secret.  Null and empty texts have no candidates; a null path is empty.
-    Candidates longer than ``MOST`` bytes are data, not secrets.  Rows that repeat an id give their candidates each.
+    Rows that repeat an id give their candidates each.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(path.cast("string") if path is not None else F.lit(""), F.lit("")).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -415,6 +416,17 @@ def test_scan(spark, scanner, empty):
     assert secrets.scan(empty, scanner).count() == 0
 
 
+def test_scan_drops_no_candidate(spark, scanner):
+    secret = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
+    long = "".join(random.Random(8).choice(string.ascii_letters + string.digits) for _ in range(1600))
+    named = ['DB_PASSWORD = "p@ss!w0rd$24"', '"client_secret": "p@ss!w0rd$24"', 'api_key = "p@ss!w0rd$24"', "password: p@ss!w0rd$24", "x password: secret_token=p@ss!w0rd$24, y"]
+    texts = [f'private_key = "{long}"', "=" * 600 + secret, "some/path/" * 80 + secret, 'password = "' + "p@" * 60 + '"', 'password = "correcthorsebatterystaple"', *named, "password:"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, texts[r.doc_id][r.start : r.start + r.length]) for r in secrets.scan(df, scanner).collect()}
+    want = [long, secret, secret, "p@" * 60, "correcthorsebatterystaple", *["p@ss!w0rd$24"] * len(named)]
+    assert {(i, x) for i, x in enumerate(want)} <= got
+
+
 def test_labelled_findings(spark):
     made = secrets.generated_findings(["model"], 400)
     df = spark.createDataFrame([(*f, bool(y)) for f, y in made] + [(None, "", "", "", True)], "candidate string, before string, after string, path string, label boolean")
