@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import string
@@ -118,28 +119,34 @@ def test_token_output_empty(empty, tmp_path):
 
 
 def brute_topk(vectors, k):
-    fine = [(i, np.floor(256 * np.array(v, float)).astype(np.int64)) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    fine = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(256 * x) for x in v)]
     out = []
     for q, a in fine:
         if q % 50 == 0:
-            best = sorted((-int(a @ b), i) for i, b in fine if i != q and len(a) == len(b))[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in fine if i != q and len(a) == len(b))[:k]
+            out += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("scale", [1.0, 3e5])
+@pytest.mark.parametrize("scale", [1.0, 3e5, 1e9, 1e200])
 def test_topk(spark, scale):
     rng = np.random.default_rng(2)
-    vectors = [(i, [float(np.float32(x)) for x in rng.normal(0, scale, 8)]) for i in range(400)]
-    vectors += [(400 + i, vectors[7][1]) for i in range(60)] + [(1000, None), (1050, []), (1100, [1.0, None] * 4), (1150, [float("inf")] * 8), (1200, [float("nan")] * 8), (1250, [1.0, 2.0]), (1300, [0.0] * 8), (None, [1.0] * 8)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(5)
+    vectors = [(i, [float(np.float32(x)) * scale for x in rng.normal(0, 1, 8)]) for i in range(400)]
+    vectors += [(400 + i, vectors[7][1]) for i in range(60)] + [(1000, None), (1050, []), (1100, [1.0, None] * 4), (1150, [float("inf")] * 8), (1200, [float("nan")] * 8), (1250, [1.0, 2.0]), (1300, [0.0] * 8), (None, [1.0] * 8), (1350, [1.7e308] * 8)]
+    df = spark.createDataFrame([(i, v, 1, 2.0, "x") for i, v in vectors], "vec_id long, embedding array<double>, id long, v double, bucket string").repartition(5)
     got = sorted(tuple(r) for r in topk.exact_topk(df, 5, F.col("vec_id") % 50 == 0, scale=256.0).collect())
-    if scale > 1:
-        clip = topk.LARGEST / 256
-        vectors = [(i, v and [None if x is None else x if not np.isfinite(x) else max(-clip, min(clip, x)) for x in v]) for i, v in vectors]
     assert got == brute_topk(vectors, 5)
 
 
+def test_topk_large_components(spark):
+    df = spark.createDataFrame([(0, [5000.0, 1.0]), (1, [6000.0, 0.0]), (2, [7000.0, 0.0]), (3, [4100.0, 2.0])], "vec_id int, embedding array<float>")
+    got = topk.exact_topk(df, 3, F.col("vec_id") == 0)
+    assert [tuple(r) for r in got.orderBy("rank").collect()] == [(0, 1, 2, 2293760000000), (0, 2, 1, 1966080000000), (0, 3, 3, 1343488131072)]
+    assert got.schema["vec_id"].dataType.simpleString() == "int"
+    with pytest.raises(TypeError):
+        topk.exact_topk(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<float>"), 1, F.lit(True))
+
+
 def test_topk_edges(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in topk.exact_topk(df, 5, F.col("vec_id") == 0).collect()) == [(0, 1, 1, 131072), (0, 2, 2, 131072)]
