@@ -72,12 +72,24 @@ def written(df: DataFrame, path: str, blobs: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_of(spark: SparkSession, path: str, part_bytes: int) -> int:
+    """How many parts of about ``part_bytes`` a written table makes: at least as many as shuffles have partitions."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+
+
 def checked_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a table of short rows for broadcasting if it has at most ``limit`` rows; else leave the join to shuffle."""
     rows = df.limit(limit + 1).count() if rows is None else rows
     return F.broadcast(df) if rows <= limit else df
 
 
+def whole_row(df: DataFrame) -> F.Column:
+    """All columns as one struct ``row``, so that a join's own columns meet none of theirs; ``select("row.*")`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def tidy(function):
     """A function over Arrow batches after which a worker gives freed memory back: idle workers stay for later stages."""
 
