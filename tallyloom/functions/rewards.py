@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import numbers, tokens
+from tallyloom.functions.text import let, numbers, tokens
 from tallyloom.functions.traces import distinct_searches, format_valid
 
 # Words of answers that answer nothing.
@@ -20,6 +21,9 @@ INVALID_ANSWERS = (
 )
 
 
+PARTS = ("answer_correctness", "answer_cem", "format_compliance", "search_incentive", "retrieval_correctness")
+
+
 @dataclass(frozen=True)
 class Weights:
     """The weights of the five parts, and the limits of each."""
@@ -50,20 +54,21 @@ def token_f1(pred: Column, truth: Column) -> Column:
     return F.when((n > 0) & (m > 0) & (both > 0), 2 * precision * recall / (precision + recall)).otherwise(0.0)
 
 
+def _f1(a: Column, x: Column, b: Column, y: Column, w: Weights) -> Column:
+    """Of an answer's tokens and numbers (a, x) and a truth's (b, y)."""
+    score = F.greatest(token_f1(a, b), F.coalesce(numeric_score(x, y, w), F.lit(0.0)))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), score).otherwise(0.0)
+
+
 def answer_f1(pred: Column, truth: Column, w: Weights = Weights()) -> Column:
     """The larger of token F1 and numeric score; 0 where a side has no token."""
-    a, b = tokens(pred), tokens(truth)
-    score = F.greatest(token_f1(a, b), F.coalesce(numeric_score(numbers(pred), numbers(truth), w), F.lit(0.0)))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), score).otherwise(0.0)
+    parts = F.struct(tokens(pred).alias("a"), numbers(pred).alias("x"), tokens(truth).alias("b"), numbers(truth).alias("y"))
+    return let(parts, lambda p: _f1(p["a"], p["x"], p["b"], p["y"], w))
 
 
 def is_invalid_answer(answer: Column, words: tuple[str, ...] = INVALID_ANSWERS) -> Column:
     """Whether an answer has one of the words that answer nothing, in any case."""
-    low = F.lower(answer)
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(low, F.lit(word))
-    return F.coalesce(found, F.lit(False))
+    return F.coalesce(F.lower(answer).rlike("|".join(re.escape(x) for x in words)), F.lit(False))
 
 
 def correctness(answer: Column, truth: Column, valid: Column, w: Weights = Weights()) -> Column:
@@ -84,15 +89,18 @@ def retrieval_hit(steps: Column, truth: Column) -> Column:
 
     ``steps`` are structs (query, retrieved_text, retrieved_records of (value_text, fact, unit)).
     """
-    want, digits = tokens(truth), numbers(truth)
+    return let(F.struct(tokens(truth).alias("want"), numbers(truth).alias("digits"), F.contains(truth, F.lit("%")).alias("percent")), lambda t: _hit(steps, t["want"], t["digits"], t["percent"]))
+
+
+def _hit(steps: Column, want: Column, digits: Column, percent: Column) -> Column:
     some = F.size(want) > 0
     near = lambda x: numeric_score(numbers(x), digits).isNotNull()
     safe = lambda x: F.coalesce(x, F.lit(""))
 
     def record(r: Column) -> Column:
         value, fact, unit = safe(r["value_text"]), safe(r["fact"]), safe(r["unit"])
-        fits = ~F.contains(truth, F.lit("%")) | F.contains(F.concat(value, unit), F.lit("%"))
-        return (fits & (near(value) | near(fact))) | (some & F.forall(want, lambda t: F.contains(value, t) | F.contains(fact, t)))
+        fits = ~percent | F.contains(F.concat(value, unit), F.lit("%"))
+        return (some & F.forall(want, lambda t: F.contains(value, t) | F.contains(fact, t))) | (fits & (near(value) | near(fact)))
 
     def step(s: Column) -> Column:
         text = safe(s["retrieved_text"])
@@ -107,28 +115,60 @@ def terminated(trace: Column, answer: Column, rounds: Column, calls: Column, rep
 
 
 def breakdown(trace: Column, answer: Column, truth: Column, steps: Column, rounds: Column, calls: Column, repeated: Column, valid: Column, w: Weights = Weights()) -> Column:
-    """struct of the five parts, their sum within 0 to 1, and whether the trajectory was terminated with zero."""
-    zero = terminated(trace, answer, rounds, calls, repeated, w)
-    parts = (
-        ("answer_correctness", correctness(answer, truth, valid, w)),
-        ("answer_cem", cem(answer, truth, w)),
-        ("format_compliance", F.when(format_valid(trace), w.format).otherwise(0.0)),
-        ("search_incentive", search_incentive(F.transform(steps, lambda s: s["query"]), w)),
-        ("retrieval_correctness", F.when(retrieval_hit(steps, truth), w.retrieval).otherwise(0.0)),
-    )
-    total = parts[0][1]
-    for _, p in parts[1:]:  # in this order: sums of doubles depend on it
-        total = total + p
-    total = F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
-    gated = [F.when(zero, 0.0).otherwise(p).alias(name) for name, p in parts]
-    return F.struct(*gated, F.when(zero, 0.0).otherwise(total).alias("total"), zero.alias("terminated_with_zero"))
+    """struct of the five parts, their sum within 0 to 1, and whether the trajectory was terminated with zero.
+
+    What is needed more than once is bound first, so that no pattern runs twice.
+    """
+    own = _own_parts(trace, answer, steps, rounds, calls, repeated, valid, w)
+    return let(own, lambda o: _scored(o, answer, truth, steps, w))
+
+
+def _own_parts(trace: Column, answer: Column, steps: Column, rounds: Column, calls: Column, repeated: Column, valid: Column, w: Weights) -> Column:
+    """What doesn't depend on the truth."""
+    whole = answer.isNull() | (rounds > w.rounds) | (calls > w.calls) | repeated
+    return let(
+        format_valid(trace),
+        lambda fine: F.struct(
+            fine.alias("fine"), (whole | ~fine).alias("zero"), (valid & is_invalid_answer(answer)).alias("invalid"), tokens(answer).alias("a"), numbers(answer).alias("x"),
+            search_incentive(F.transform(steps, lambda s: s["query"]), w).alias("search"),
+        ),
+    )
+
+
+def _scored(o: Column, answer: Column, truth: Column, steps: Column, w: Weights) -> Column:
+    wanted = F.struct(tokens(truth).alias("b"), numbers(truth).alias("y"), F.contains(truth, F.lit("%")).alias("percent"))
+
+    def parts(t: Column) -> Column:
+        right = F.when(answer.isNull(), 0.0).when(o["invalid"], w.invalid).otherwise(w.correctness * _f1(o["a"], o["x"], t["b"], t["y"], w))
+        covers = answer.isNotNull() & F.forall(t["b"], lambda x: F.contains(answer, x))
+        return F.struct(
+            right.alias("answer_correctness"), F.when(covers, w.cem).otherwise(0.0).alias("answer_cem"), F.when(o["fine"], w.format).otherwise(0.0).alias("format_compliance"),
+            o["search"].alias("search_incentive"), F.when(_hit(steps, t["b"], t["y"], t["percent"]), w.retrieval).otherwise(0.0).alias("retrieval_correctness"),
+        )
+
+    def summed(p: Column) -> Column:
+        total = p[PARTS[0]]
+        for name in PARTS[1:]:  # in this order: sums of doubles depend on it
+            total = total + p[name]
+        return F.struct(*[p[name].alias(name) for name in PARTS], F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)).alias("total"), F.lit(False).alias("terminated_with_zero"))
+
+    nothing = F.struct(*[F.lit(0.0).alias(name) for name in (*PARTS, "total")], F.lit(True).alias("terminated_with_zero"))
+    return F.when(o["zero"], nothing).otherwise(let(let(wanted, parts), summed))
 
 
 def best_breakdown(targets: Column, **parts: Column) -> Column:
     """struct(target, reward) of the accepted target with the largest total; of equal ones the first."""
-    scored = F.transform(targets, lambda t, i: F.struct(breakdown(truth=t, **parts).alias("reward"), t.alias("target"), i.alias("i")))
-    best = F.aggregate(scored, F.try_element_at(scored, F.lit(1)), lambda a, b: F.when(b["reward"]["total"] > a["reward"]["total"], b).otherwise(a))
-    return F.struct(best["target"].alias("target"), best["reward"].alias("reward"))
+    w = parts.pop("w", Weights())
+    own = _own_parts(*(parts[c] for c in ("trace", "answer", "steps", "rounds", "calls", "repeated", "valid")), w)
+
+    def best(o: Column) -> Column:
+        return let(F.transform(targets, lambda t: F.struct(_scored(o, parts["answer"], t, parts["steps"], w).alias("reward"), t.alias("target"))), pick)
+
+    def pick(scored: Column) -> Column:
+        found = F.aggregate(scored, F.try_element_at(scored, F.lit(1)), lambda a, b: F.when(b["reward"]["total"] > a["reward"]["total"], b).otherwise(a))
+        return let(found, lambda x: F.struct(x["target"].alias("target"), x["reward"].alias("reward")))
+
+    return let(own, best)
 
 
 def too_easy(guesses: Column, targets: Column, w: Weights = Weights()) -> Column:

@@ -35,6 +35,11 @@ VALUED_METRICS = (
 BLANK = r"\s\x1c-\x1f"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim(x: Column) -> Column:
     """Strip white space of any kind from both ends."""
     return F.regexp_replace(x, f"(?U)^[{BLANK}]+|[{BLANK}]+$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import ascii_digits, to_number, trim
+from tallyloom.functions.text import ascii_digits, let, to_number, trim
 
 # Texts that stand for nothing, unit suffixes with their scales.
 NOTHING = ("false", "none", "nan", "n/a")
@@ -30,16 +30,26 @@ def parse_value(raw: Column, legacy: bool = False) -> Column:
     must begin with a number, else the whole text is the unit.  ``legacy`` has no 万亿 without 元 and stops
     a number at a thousands separator.
     """
-    text = trim(ascii_digits(raw))
     suffixes = [s for s in SUFFIXES if not legacy or s[0] != "万亿"]
-    lead = lambda x: F.regexp_extract(x if legacy else F.replace(x, F.lit(","), F.lit("")), r"^([+-]?\d+\.?\d*)", 1)
-    out = F.when(F.coalesce(text == "", F.lit(True)) | F.lower(text).isin(*NOTHING), _nothing())
-    out = out.when(F.endswith(text, F.lit("%")), _value(to_number(trim(F.regexp_replace(text, "%$", ""))), "%", None, ""))
-    for suffix, scale in suffixes:
-        number = to_number(lead(F.substring(text, F.lit(1), F.length(text) - len(suffix))))
-        out = out.when(F.endswith(text, F.lit(suffix)), F.when(number.isNotNull(), _value(number, suffix, CURRENCY, scale)).otherwise(_value(number, text, CURRENCY, "")))
-    number = to_number(lead(text))
-    return out.when(number.isNotNull(), _value(number, PLAIN, CURRENCY, "")).otherwise(_value(number, text, CURRENCY, ""))
+    scales = F.create_map(*[F.lit(x) for pair in suffixes for x in pair])
+
+    def read(text: Column) -> Column:
+        suffix = F.regexp_extract(text, f"({'|'.join(s for s, _ in suffixes)})$", 1)
+        return let(F.struct(text.alias("text"), suffix.alias("suffix"), leading(text)), value)
+
+    def leading(text: Column) -> Column:
+        plain = text if legacy else F.replace(text, F.lit(","), F.lit(""))
+        return to_number(F.regexp_extract(plain, r"^([+-]?\d+\.?\d*)", 1)).alias("number")
+
+    def value(r: Column) -> Column:
+        text, suffix, number = r["text"], r["suffix"], r["number"]
+        out = F.when(F.coalesce(text == "", F.lit(True)) | F.lower(text).isin(*NOTHING), _nothing())
+        out = out.when(F.endswith(text, F.lit("%")), _value(to_number(trim(F.regexp_replace(text, "%$", ""))), "%", None, ""))
+        out = out.when(number.isNull(), _value(number, text, CURRENCY, ""))
+        unit, scale = F.when(suffix == "", PLAIN).otherwise(suffix), F.coalesce(F.try_element_at(scales, suffix), F.lit(""))
+        return out.otherwise(F.struct(number.alias("number"), unit.alias("unit"), F.lit(CURRENCY).alias("currency"), scale.alias("scale")))
+
+    return let(trim(ascii_digits(raw)), read)
 
 
 def parse_number(raw: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import truthy
+from tallyloom.sources.scratch import scratch_dir, written
 
 PARTS = ("answer_correctness", "answer_cem", "format_compliance", "search_incentive", "retrieval_correctness", "total")
 
@@ -27,17 +30,6 @@ def reward_metrics(audit: DataFrame) -> DataFrame:
     return out.filter(F.col("count") > 0)
 
 
-def consecutive_groups(df: DataFrame, key: str, order: str, by: list[str] | None = None, column: str = "run") -> DataFrame:
-    """Runs of equal keys in order, numbered; a key that comes again later begins a new run.
-
-    Without ``by`` the order is one over all rows.  To keep it in many tasks, ranges of the order are numbered apart:
-    see :func:`run_table`.
-    """
-    w = Window.partitionBy(*(by or [])).orderBy(order)
-    new = (~F.col(key).eqNullSafe(F.lag(key).over(w)) | (F.row_number().over(w) == 1)).cast("long")
-    return df.withColumn("__new", new).withColumn(column, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
-
-
 def run_table(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """(run, key, n, low, high, total) of all runs of a global order, computed in ranges that are then joined.
 
@@ -45,7 +37,7 @@ def run_table(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     row per range, not per run, is ordered in a single task.
     """
     ranged = df.select(F.col(key).alias("key"), F.col(order).alias("at"), F.col(value).alias("value")).repartitionByRange("at").sortWithinPartitions("at")
-    tagged = ranged.withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33))
+    tagged = written(ranged.withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33)), f"{scratch_dir(df.sparkSession)}/ranges")
     w = Window.partitionBy("part").orderBy("at")
     new = (~F.col("key").eqNullSafe(F.lag("key").over(w)) | (F.row_number().over(w) == 1)).cast("long")
     local = tagged.withColumn("new", new).withColumn("local", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -102,6 +94,14 @@ def rejection_histogram(rejected: DataFrame) -> DataFrame:
     return counts(rejected, "reason")
 
 
+def report_metrics(audit: DataFrame, sink: Callable[[dict[str, float]], None] | None = None) -> DataFrame:
+    """The batch's metrics; they also go to ``sink`` if there is one and the batch isn't empty."""
+    out = reward_metrics(audit)
+    if sink is not None and (row := out.first()) is not None:
+        sink({k: float(v) for k, v in row.asDict().items() if v is not None})
+    return out
+
+
 def markdown_report(df: DataFrame, title: str, splits: str = "segment") -> str:
     """A statistics report of a fact base; only aggregates come to the driver."""
 

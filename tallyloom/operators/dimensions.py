@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources.scratch import scratch_dir, written
+
 # Companies with their codes and industries, and what else tells an industry.
 COMPANIES = (
     ("600519", "贵州茅台", "白酒"), ("000858", "五粮液", "白酒"), ("000568", "泸州老窖", "白酒"), ("600036", "招商银行", "银行"), ("601398", "工商银行", "银行"),
@@ -83,7 +85,7 @@ def name_in_title(df: DataFrame, title: str, names: DataFrame, name: str, order:
         return df.join(F.broadcast(listed)).withColumn("matched", found).drop("__names")
     lengths = [r[0] for r in pairs.select(F.length("n").alias("k")).distinct().collect()]  # as many as the longest name has characters
     part = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(title) - k + 1, F.lit(1))), lambda i: F.substring(F.col(title), i, F.lit(k)))
-    keyed = df.withColumn("__row", F.monotonically_increasing_id())
+    keyed = written(df.withColumn("__row", F.monotonically_increasing_id()), f"{scratch_dir(df.sparkSession)}/rows")
     cut = keyed.select("__row", F.explode(F.array_distinct(F.flatten(F.array(*[part(k) for k in lengths])))).alias("n"))
     best = cut.join(pairs, "n").groupBy("__row").agg(F.min_by("n", "o").alias("__by_name"))
     out = keyed.join(best, "__row", "left").drop("__row")

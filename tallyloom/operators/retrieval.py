@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.errors import RetrievalError
 from tallyloom.functions.text import trim
 
 # Hosts of exchanges and regulators, which come first.
@@ -25,7 +26,7 @@ def search(queries: DataFrame, records: DataFrame, k: int = TOP_K, strict: bool
     block's best are ranked before blocks meet.
     """
     if k < 1 and strict:
-        raise ValueError("k must be at least 1")
+        raise RetrievalError("k must be at least 1")
     asked = queries.withColumnRenamed(query_vector, "__q")
     if text and text in queries.columns:
         some = F.coalesce(trim(F.col(text)) != "", F.lit(False))
@@ -42,12 +43,22 @@ def search(queries: DataFrame, records: DataFrame, k: int = TOP_K, strict: bool
     return ranked.filter(F.col("rank") <= max(k, 0)).drop("__q", "__block", "__r", vector)
 
 
-def format_results(query: Column, records: Column) -> Column:
-    """The text for the model: a numbered list, and the records without scores as JSON in a comment."""
+def spaced_json(r: Column, fields: list[str]) -> Column:
+    """A flat struct as JSON with a blank after commas and colons; null fields stay."""
+    value = lambda c: F.regexp_replace(F.to_json(F.array(r[c])), r"^\[|\]$", "")
+    return F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{c}": '), value(c)) for c in fields]), F.lit("}"))
+
+
+def format_results(query: Column, records: Column, fields: list[str] | None = None) -> Column:
+    """The text for the model: a numbered list, and the records without scores as JSON in a comment.
+
+    With the records' ``fields`` the JSON has blanks after commas and colons.
+    """
     cell = lambda r, c: F.coalesce(r[c].cast("string"), F.lit(""))
     line = lambda r, i: F.concat((i + 1).cast("string"), F.lit(". ["), cell(r, "entity"), F.lit("] "), cell(r, "metric"), F.lit(": "), cell(r, "value_text"), F.lit(" （来源: "), cell(r, "source_doc"), F.lit("）"))
     head = F.concat(F.lit("搜索结果（共 "), F.size(records).cast("string"), F.lit(" 条）：\n"))
-    tail = F.concat(F.lit("\n<!-- metadata: "), F.to_json(F.struct(records.alias("records"))), F.lit(" -->"))
+    listed = F.concat(F.lit('{"records": ['), F.array_join(F.transform(records, lambda r: spaced_json(r, fields)), ", "), F.lit("]}")) if fields else F.to_json(F.struct(records.alias("records")), {"ignoreNullFields": "false"})
+    tail = F.concat(F.lit("\n<!-- metadata: "), listed, F.lit(" -->"))
     found = F.array_join(F.concat(F.array(head), F.transform(records, line), F.array(tail)), "\n")
     nothing = F.concat(F.lit('[search] 未找到与 "'), query, F.lit('" 相关的结果。'))
     return F.when(F.coalesce(F.size(records), F.lit(0)) > 0, found).otherwise(nothing)
@@ -69,13 +80,13 @@ def retrieve(results: DataFrame, fields: list[str], query_id: str = "query_id",
     """One row per query of ``search``: its text and its records; a query's records are at most its k."""
     records = F.transform(F.sort_array(F.collect_list(F.struct("rank", F.struct(*fields).alias("r")))), lambda x: x["r"])
     one = results.groupBy(query_id, query).agg(records.alias("records"))
-    return one.withColumn("text", format_results(F.col(query), F.col("records")))
+    return one.withColumn("text", format_results(F.col(query), F.col("records"), fields))
 
 
 def sample_facts(df: DataFrame, n: int, seed: int = 0, entity: str | None = None, id_col: str = "fact_id") -> DataFrame:
     """``n`` rows in a seeded order, of one entity if given; all if there are fewer."""
     df = df.filter(F.col("entity") == entity) if entity else df
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(max(n, 0))
+    return df.orderBy(F.sha2(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))), 256), id_col).limit(max(n, 0))
 
 
 def host_of(url: Column) -> Column:
@@ -136,6 +147,11 @@ def cache_entries(results: DataFrame, query: str = "query") -> DataFrame:
     return results.select(cache_key(F.col(query)).alias("key"), F.current_timestamp().alias("created_at"), "text", "metadata")
 
 
+def write_cache(results: DataFrame, path: str, query: str = "query") -> None:
+    """Append computed results to a cache table; :func:`replay` reads it."""
+    cache_entries(results, query).write.mode("append").parquet(path)
+
+
 def normalise_payload(payload: Column) -> Column:
     """struct(text, metadata) of a service's JSON answer: a text, or an object with a text and other fields; else null."""
     v = F.try_parse_json(payload)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.text import trim, truthy
 from tallyloom.functions.values import answer_targets
 from tallyloom.operators.validation import eligible_fact
+from tallyloom.sources.scratch import scratch_dir, written
 
 REQUIRED = ("entity", "metric", "date", "value_text")
 
@@ -15,13 +16,13 @@ REQUIRED = ("entity", "metric", "date", "value_text")
 def pair_facts(facts: DataFrame, per_root: int | None = None, order: str = "fact_id", target_first: str = "date") -> DataFrame:
     """(root, target): eligible facts of one entity and metric with different dates and values.
 
-    ``per_root`` keeps each root's first targets by date; a root's targets are ranked as they are joined, so the
-    quadratic set of a large group isn't kept.
+    ``per_root`` keeps each root's first targets by date.  A group's roots then meet few of its facts, which hold every
+    root's first targets (see :func:`first_targets`); without it the result itself has all pairs.
     """
     own = facts.filter(eligible_fact())
     names = own.columns
-    left = own.select(F.struct(*names).alias("root"))
-    right = own.select(F.struct(*names).alias("target"))
+    targets = own if per_root is None else first_targets(own, per_root, order, target_first)
+    left, right = own.select(F.struct(*names).alias("root")), targets.select(F.struct(*names).alias("target"))
     same = (F.col("root.entity") == F.col("target.entity")) & (F.col("root.metric") == F.col("target.metric"))
     differ = (F.col(f"root.{order}") != F.col(f"target.{order}")) & (F.col("root.date") != F.col("target.date")) & (trim(F.col("root.value_text")) != trim(F.col("target.value_text")))
     pairs = left.join(right, same & differ)
@@ -31,6 +32,36 @@ def pair_facts(facts: DataFrame, per_root: int | None = None, order: str = "fact
     return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= per_root)
 
 
+def first_targets(own: DataFrame, k: int, order: str, target_first: str) -> DataFrame:
+    """Facts among which every fact of their entity and metric has its first ``k`` targets.
+
+    A root takes no target of its date or its value.  So a fact with k before it of its date and value is never needed; nor is
+    one with k (k + 1) of those before it of its date, as their values are more than k, or of its value.  Of what is left a root
+    passes over at most k (k + 1) for its date and as many for its value.  Each limit is also applied before its exchange.
+    """
+    columns, group = own.columns, ["entity", "metric"]
+    out = own.withColumn("__value", trim(F.col("value_text")))
+    for keys, n in (([*group, "date", "__value"], k), ([*group, "date"], k * (k + 1)), ([*group, "__value"], k * (k + 1)), (group, k + 2 * k * (k + 1))):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(target_first, order))
+        out = out.withColumn("__nth", nth).filter(F.col("__nth") <= n)
+    return out.select(*columns)
+
+
+def target_counts(facts: DataFrame) -> DataFrame:
+    """Eligible facts with ``targets``, the number of facts that :func:`pair_facts` pairs them with.
+
+    All of the group, less those of the same date, less those of the same value, and again those of both, from sums.
+    """
+    own = facts.filter(eligible_fact()).withColumn("__value", trim(F.col("value_text")))
+    keys = ["entity", "metric", "date", "__value"]
+    cells = own.groupBy(*keys).agg(F.count("*").alias("__both"))
+    sums = cells
+    for name, by in (("__all", keys[:2]), ("__dates", keys[:3]), ("__values", [*keys[:2], keys[3]])):
+        sums = sums.join(cells.groupBy(*by).agg(F.sum("__both").alias(name)), by)
+    counted = sums.select(*keys, (F.col("__all") - F.col("__dates") - F.col("__values") + F.col("__both")).alias("targets"))
+    return own.join(counted, keys).drop("__value")
+
+
 def lookup_question(root: Column, target: Column) -> Column:
     """The question that names the root's date, metric and value and asks for the target's; null if it can't be asked."""
     fine = (root["entity"] == target["entity"]) & (root["metric"] == target["metric"]) & (root["date"] != target["date"]) & (trim(root["value_text"]) != trim(target["value_text"]))
@@ -42,14 +73,14 @@ def lookup_question(root: Column, target: Column) -> Column:
 
 
 def template_error(root: Column, target: Column) -> Column:
-    """Why no question can be asked, null if one can."""
+    """A short code for why no question can be asked, null if one can."""
     blank = lambda r: F.exists(F.array(*[r[c] for c in REQUIRED]), lambda x: ~truthy(trim(x)))
     return (
-        F.when(blank(root), "root record is missing a required template field")
-        .when(blank(target), "target record is missing a required template field")
-        .when((root["entity"] != target["entity"]) | (root["metric"] != target["metric"]), "anchored lookup requires the same entity and metric")
-        .when(root["date"] == target["date"], "anchored lookup requires different reporting dates")
-        .when(trim(root["value_text"]) == trim(target["value_text"]), "root value would leak the target answer")
+        F.when(blank(root), "root_incomplete")
+        .when(blank(target), "target_incomplete")
+        .when((root["entity"] != target["entity"]) | (root["metric"] != target["metric"]), "other_entity_or_metric")
+        .when(root["date"] == target["date"], "equal_dates")
+        .when(trim(root["value_text"]) == trim(target["value_text"]), "equal_values")
     )
 
 
@@ -59,10 +90,19 @@ def render_candidates(candidates: Column) -> Column:
 
 
 def render_facts(involved: Column) -> Column:
-    """A chain of facts for an audit, the last marked as the target; null without facts."""
-    n = F.size(involved)
-    part = lambda r, i: F.concat(F.when(i + 1 == n, "target").otherwise(F.concat(F.lit("fact "), (i + 1).cast("string"))), F.lit(": ["), r["entity"], F.lit("] "), r["date"], F.lit(" "), r["metric"], F.lit(" = "), r["value_text"])
-    return F.when(F.coalesce(n, F.lit(0)) > 0, F.array_join(F.transform(involved, part), "\n"))
+    """struct(facts, final_fact): a line per fact of a chain, for an audit, and the last one; null without facts.
+
+    Missing fields are empty.
+    """
+    cell = lambda r, c: F.coalesce(r[c], F.lit(""))
+    line = lambda r: F.concat(F.lit("- ["), cell(r, "fact_id"), F.lit("] "), cell(r, "entity"), cell(r, "date"), F.lit("的"), cell(r, "metric"), F.lit("为"), cell(r, "value_text"))
+    lines = F.transform(involved, line)
+    return F.when(F.coalesce(F.size(involved), F.lit(0)) > 0, F.struct(F.array_join(lines, "\n").alias("facts"), F.try_element_at(lines, F.lit(-1)).alias("final_fact")))
+
+
+def primary_target(targets: Column) -> Column:
+    """The first accepted answer; null where there is none."""
+    return F.try_element_at(targets, F.lit(1))
 
 
 def training_row(qid: Column, prompt: Column, root: Column, involved: Column, actions: Column, source: str, question_policy: str | None = None) -> Column:
@@ -84,9 +124,10 @@ def rejection(attempt: Column, reason: Column, detail: Column, root: Column) ->
 def number_rows(df: DataFrame, order: list[str], column: str = "qid", form: str = "ft_%05d") -> DataFrame:
     """Rows numbered from 1 over a total order.
 
-    Ranges of the order are numbered apart and shifted by what stands before, so no task holds all rows.
+    Ranges of the order are written with their places and shifted by what stands before, so no task holds all rows.
     """
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    parts = written(parts, f"{scratch_dir(df.sparkSession)}/ranges")
     parts = parts.withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id") - F.shiftleft(F.col("__part"), 33))
     sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import trim, truthy
+from tallyloom.functions.text import affirmative, trim, truthy
 from tallyloom.functions.values import finite
 
 # Fields and kinds of a fact, rules on questions whose target is the last record's value.
 FACT_FIELDS = ("fact_id", "fact", "entity", "source_type")
 RECORD_FIELDS = ("fact_id", "fact", "source_doc", "source_type", "document_id", "published_at", "retrieved_at", "raw_content_hash", "entity", "metric", "value_text", "value_type")
+VERDICT_CHARACTERS = 240
 VALUE_TYPES = ("amount", "percentage", "ratio", "rank", "entity", "text")
 DERIVED = (
     r"多少个?百分点",
@@ -76,17 +77,17 @@ def parse_records(df: DataFrame, v: str = "v") -> DataFrame:
     kind, text = (lambda p: _kind(v, p)), (lambda p: _text(v, p))
     numeric = lambda p: F.coalesce(kind(p).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$"), F.lit(False))
     absent = lambda p: kind(p).isNull() | (kind(p) == "VOID")
-    rules = [(F.coalesce(kind(c) != "STRING", F.lit(True)) | (trim(text(c)) == ""), f"{c} must be a non-empty string") for c in RECORD_FIELDS]
+    rules = [(F.coalesce(kind(c) != "STRING", F.lit(True)) | (trim(text(c)) == ""), f"blank_{c}") for c in RECORD_FIELDS]
     url, number = text("source_url"), F.when(numeric("value_number"), F.try_variant_get(v, "$.value_number", "double"))
     related = F.try_variant_get(v, "$.related_entities", "array<string>")
     rules += [
-        (truthy(url) & ~url.rlike("^https?://"), "source_url must be empty or an HTTP(S) URL"),
-        (~text("value_type").isin(*VALUE_TYPES), "value_type is not supported"),
-        (~absent("value_number") & ~numeric("value_number"), "value_number must be numeric or null"),
-        (text("value_type").isin("amount", "percentage") & absent("value_number"), "amount and percentage facts require value_number"),
-        (kind("related_entities").isNotNull() & (~F.startswith(kind("related_entities"), F.lit("ARRAY")) | kind("related_entities").rlike("BIGINT|BOOLEAN|OBJECT|DOUBLE|DECIMAL|VARIANT") | F.exists(related, lambda x: F.coalesce(trim(x) == "", F.lit(True)))), "related_entities must be a list of non-empty strings"),
-        (kind("structured").isNotNull() & (kind("structured") != "BOOLEAN"), "structured must be a boolean"),
-        *[(~absent(c) & (kind(c) != "STRING"), f"{c} must be a string or null") for c in ("unit", "currency", "scale", "industry")],
+        (truthy(url) & ~url.rlike("^https?://"), "bad_source_url"),
+        (~text("value_type").isin(*VALUE_TYPES), "unknown_value_type"),
+        (~absent("value_number") & ~numeric("value_number"), "bad_value_number"),
+        (text("value_type").isin("amount", "percentage") & absent("value_number"), "missing_value_number"),
+        (kind("related_entities").isNotNull() & (~F.startswith(kind("related_entities"), F.lit("ARRAY")) | kind("related_entities").rlike("BIGINT|BOOLEAN|OBJECT|DOUBLE|DECIMAL|VARIANT") | F.exists(related, lambda x: F.coalesce(trim(x) == "", F.lit(True)))), "bad_related_entities"),
+        (kind("structured").isNotNull() & (kind("structured") != "BOOLEAN"), "bad_structured"),
+        *[(~absent(c) & (kind(c) != "STRING"), f"bad_{c}") for c in ("unit", "currency", "scale", "industry")],
     ]
     date = F.coalesce(text("period"), text("date"), F.lit(""))
     columns = [trim(text(c)).alias(c) for c in RECORD_FIELDS]
@@ -105,11 +106,11 @@ def parse_samples(df: DataFrame, v: str = "v") -> DataFrame:
     target = F.try_variant_get(v, "$.ground_truth.target", "array<string>")
     listed = F.coalesce(F.startswith(kind("ground_truth.target"), F.lit("ARRAY<STRING")), F.lit(False))
     valid = F.try_variant_get(v, "$.ground_truth.valid_inst", "boolean")
-    rules = [(F.coalesce(kind(c) != "STRING", F.lit(True)) | (trim(text(c)) == ""), f"{c} must be a non-empty string") for c in ("qid", "prompt")]
+    rules = [(F.coalesce(kind(c) != "STRING", F.lit(True)) | (trim(text(c)) == ""), f"blank_{c}") for c in ("qid", "prompt")]
     rules += [
-        (kind("source").isNull(), "source is required"),
-        (~listed | (F.size(target) == 0) | F.exists(target, lambda x: F.coalesce(trim(x) == "", F.lit(True))), "ground_truth.target must be a non-empty list of strings"),
-        (kind("ground_truth.valid_inst").isNotNull() & (kind("ground_truth.valid_inst") != "BOOLEAN"), "valid_inst must be a boolean"),
+        (kind("source").isNull(), "missing_source"),
+        (~listed | (F.size(target) == 0) | F.exists(target, lambda x: F.coalesce(trim(x) == "", F.lit(True))), "bad_target"),
+        (kind("ground_truth.valid_inst").isNotNull() & (kind("ground_truth.valid_inst") != "BOOLEAN"), "bad_valid_inst"),
     ]
     keep = [c for c in df.columns if c != v]
     return df.select(*keep, trim(text("qid")).alias("qid"), trim(text("prompt")).alias("prompt"), F.transform(target, trim).alias("targets"), F.try_variant_get(v, "$.source", "variant").alias("source"), F.coalesce(valid, F.lit(True)).alias("valid_inst"), _first(*rules).alias("error"))
@@ -168,10 +169,17 @@ def without_findings(df: DataFrame, findings: DataFrame, key: str = "qid") -> Da
     return df.join(found, as_text(F.col(key)) == F.col("__found"), "left_anti")
 
 
-def audit_relations(df: DataFrame, reason: Column, verdict: Column) -> DataFrame:
-    """``decision`` and ``finding``: rule findings first, then the given verdict; a missing verdict rejects."""
-    finding = F.coalesce(reason, F.when(verdict.isNull(), "relation_verdict_missing"), F.when(~verdict, "relation_not_grounded"))
-    return df.withColumn("finding", finding).withColumn("decision", F.when(F.col("finding").isNull(), "keep").otherwise("reject"))
+def audit_relations(df: DataFrame, reason: Column, verdict: Column, failure: Column | None = None) -> DataFrame:
+    """``decision`` and ``finding`` (reason, detail, verdict; null for rows that are kept): rules first, then a model's verdict.
+
+    A verdict is a model's reply; one that doesn't begin with yes rejects, and so does a missing one (``failure`` says why).
+    """
+    why = F.coalesce(failure, F.lit("no verdict")) if failure is not None else F.lit("no verdict")
+    missing = verdict.isNull() if failure is None else verdict.isNull() | failure.isNotNull()
+    text = F.lit(None).cast("string")
+    finding = lambda r, detail, said: F.struct(r.alias("reason"), detail.alias("detail"), said.alias("verdict"))
+    found = F.when(reason.isNotNull(), finding(reason, text, text)).when(missing, finding(F.lit("relation_grounding_unverified"), why, text)).when(~affirmative(verdict), finding(F.lit("relation_grounding_failed"), text, F.substring(verdict, 1, VERDICT_CHARACTERS)))
+    return df.withColumn("finding", found).withColumn("decision", F.when(F.col("finding").isNull(), "keep").otherwise("reject"))
 
 
 def eligible_fact() -> Column:

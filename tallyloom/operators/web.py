@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import BLANK, trim
+
 # Elements without visible text, the class of a result's link.
 HIDDEN = ("script", "style", "noscript", "svg", "template")
 RESULT_CLASS = "result__a"
@@ -70,18 +73,27 @@ def links(html: str | None) -> list[dict]:
 
 def visible_text(html: Column, limit: int | None = None) -> Column:
     """Visible text of whole pages, a batch at a time; a reader that has room for a prompt only gives a ``limit``."""
-    return F.pandas_udf(lambda x: x.map(lambda page: visible(page, limit)), "string", F.PandasUDFType.SCALAR)(html)
+    def read(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda page: visible(page, limit))
+
+    return F.pandas_udf(read, "string")(html)
+
+
+def page_text(content_type: Column, body: Column, limit: int | None = None) -> Column:
+    """struct(text, error) of a page: visible text of HTML, squeezed plain text; other types and pages without text are errors."""
+    kind = F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
+    plain = trim(F.regexp_replace(body, rf"(?U)[{BLANK}]+", " "))
+    read = F.when(kind == "text/html", visible_text(body, limit)).when(kind == "text/plain", F.nullif(F.substring(plain, 1, limit) if limit else plain, F.lit("")))
+    error = F.when(~kind.isin("text/html", "text/plain"), "unsupported_content_type").when(read.isNull(), "no_text")
+    return F.struct(F.when(error.isNull(), read).alias("text"), error.alias("error"))
 
 
 def result_links(html: Column) -> Column:
     """Titles and addresses of the result links of whole pages."""
-    return F.pandas_udf(lambda x: x.map(links), "array<struct<title:string,url:string>>", F.PandasUDFType.SCALAR)(html)
-
+    def read(pages: pd.Series) -> pd.Series:
+        return pages.map(links)
 
-def visible_text_plain(html: Column) -> Column:
-    """An approximation by patterns: nested hidden elements and entities are not understood."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg|template)\b.*?</(?:script|style|noscript|svg|template)>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    return F.pandas_udf(read, "array<struct<title:string,url:string>>")(html)
 
 
 def decode_event_stream(body: Column) -> Column:

@@ -8,33 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import keys, rewards, text, traces, values
-from tallyloom.operators import audit, dedup, dimensions, facts, retrieval, rollout, synthesis, validation, web
+from tallyloom.operators import audit, dedup, dimensions, facts, retrieval, synthesis, validation
+from tallyloom.plans import fact_queries, registry, source_queries, trace_queries  # noqa: F401
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 _LABELS: dict[str, str] = {"split": "kb-v1", "labels": "labels-v1"}
-
-
-def _query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
+_query, _t = registry.query, registry.table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return dict(registry.SQL)
 
 
 def order_facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,23 +61,22 @@ def label_split(spark, sf):
 
 
 @_query("""
-SELECT arg_max(doc_id, struct_pack(n := length(text), d := -doc_id)) AS doc_id, min(doc_id) AS position FROM documents GROUP BY lang, source, substr(text, 1, 12)""")
+SELECT arg_max(doc_id, struct_pack(n := length(text), d := -doc_id)) AS doc_id, min(doc_id) AS position, '["' || lang || '","' || source || '","","' || sha256(text) || '",""]' AS key FROM documents GROUP BY lang, source, sha256(text)""")
 def semantic_dedup(spark, sf):
-    d = _t(spark, sf, "documents")
-    key = keys.dedup_key(F.col("lang"), F.col("source"), F.lit(""), F.substring("text", 1, 12), F.lit(""), F.col("text"))
-    return dedup.keep_longest(d, key, "text", ["doc_id"]).select("doc_id", F.col("position.doc_id").alias("position"))
+    d = _t(spark, sf, "documents").withColumn("key", keys.dedup_key(F.col("lang"), F.col("source"), F.lit(""), F.sha2("text", 256), F.lit(""), F.col("text")))
+    return dedup.keep_longest(d, F.col("key"), "text", ["doc_id"], ["doc_id", "key"]).select("doc_id", F.col("position.doc_id").alias("position"), "key")
 
 
 @_query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY source, text")
 def exact_fact_dedup(spark, sf):
-    return dedup.keep_first(_t(spark, sf, "documents"), ["source", "text"], ["doc_id"]).select("doc_id")
+    return dedup.keep_first(_t(spark, sf, "documents"), ["source", F.sha2("text", 256)], ["doc_id"], ["doc_id"])
 
 
 @_query("""
-SELECT min(doc_id) AS doc_id, count(*) - 1 AS duplicates FROM documents JOIN labels USING (doc_id) GROUP BY substr(text, 1, 40) HAVING min(quality) = max(quality)""")
+SELECT min(doc_id) AS doc_id, count(*) - 1 AS duplicates FROM documents LEFT JOIN labels USING (doc_id) GROUP BY text HAVING count(DISTINCT coalesce(quality, -1)) = 1""")
 def conflict_filter(spark, sf):
-    d = _t(spark, sf, "documents").join(_t(spark, sf, "labels"), "doc_id").select("doc_id", F.substring("text", 1, 40).alias("prompt"), F.array("quality").alias("target"))
-    return dedup.drop_conflicts(d, "prompt", "target", ["doc_id"]).select("doc_id", "duplicates")
+    d = _t(spark, sf, "documents").join(_t(spark, sf, "labels"), "doc_id", "left").withColumn("target", F.array(F.coalesce("quality", F.lit(-1))))
+    return dedup.drop_conflicts(d, F.sha2("text", 256), "target", ["doc_id"], ["doc_id"]).select("doc_id", "duplicates")
 
 
 _NULLED = """SELECT o_orderkey::VARCHAR AS fact_id, nullif(o_orderpriority, '5-LOW') AS fact, nullif(o_orderstatus, 'P') AS entity, 'orders' AS source_type,
@@ -223,29 +208,7 @@ def page_hosts(spark, sf):
     return _t(spark, sf, "pages").select("page_id", retrieval.host_of(F.col("url")).alias("host"), retrieval.is_public_url(F.col("url")).alias("public"))
 
 
-@_query("""
-SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|svg|template)\\b.*?</(?:script|style|noscript|svg|template)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS n FROM pages""")
-def visible_text_plain(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", F.length(web.visible_text_plain(F.col("html"))).cast("long").alias("n"))
-
-
-@_query()
-def visible_text(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", web.visible_text(F.col("html")).alias("text"))
-
-
-@_query("""
-WITH c AS (SELECT sha256(trim(text)) AS key, min(text) AS t FROM conversations WHERE role = 'user' GROUP BY 1)
-SELECT conv_id, turn, t IS NOT NULL AS cached FROM conversations LEFT JOIN c ON sha256(trim(text)) = key""")
-def cache_replay(spark, sf):
-    c = _t(spark, sf, "conversations")
-    cache = c.filter("role = 'user'").select(retrieval.cache_key(F.col("text")).alias("key"), F.current_timestamp().alias("created_at"), "text", F.lit("{}").alias("metadata"))
-    hits, misses = retrieval.replay(c.select("conv_id", "turn", F.col("text").alias("query")), cache)
-    return hits.select("conv_id", "turn", "cached").union(misses.select("conv_id", "turn", F.lit(False)))
-
-
-_TOKENS = "regexp_extract_all({}, '[\\x{{4e00}}-\\x{{9fff}}]|[^\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{4e00}}-\\x{{9fff}}]+')"
-_NUMBERS = "list_transform(regexp_extract_all({}, '-?\\d+\\.?\\d*%?'), lambda v: TRY_CAST(rtrim(v, '%') AS DOUBLE))"
+_TOKENS, _NUMBERS = registry.TOKENS, registry.NUMBERS
 _PAIRED = f"""
 p AS (SELECT c.conv_id, c.turn, c.role, c.text, n.text AS reply FROM conversations c JOIN conversations n ON c.conv_id = n.conv_id AND n.turn = c.turn + 1),
 k AS (SELECT *, {_TOKENS.format("reply")} AS a, {_TOKENS.format("text")} AS b, {_NUMBERS.format("reply")} AS x, {_NUMBERS.format("text")} AS y FROM p),
@@ -298,14 +261,6 @@ def seen_queries(spark, sf):
     return g.select("conv_id", traces.has_repeat(F.col("q"), fold=True).alias("repeated"), traces.distinct_searches(F.col("q")).alias("searches"))
 
 
-@_query()
-def rollout_replay(spark, sf):
-    c = _t(spark, sf, "conversations")
-    turn = F.when(F.col("role") == "assistant", F.concat(F.lit("<think>done</think><answer>"), "text", F.lit("</answer>"))).otherwise(F.concat(F.lit("<think>look</think><search>"), "text", F.lit("</search>")))
-    out = rollout.replay_turns(c.select(F.col("conv_id").alias("rollout_id"), "turn", turn.alias("text"), F.col("text").alias("observation")), 8)
-    return out.select("rollout_id", "termination", "completed", "num_rounds", F.size("search_steps").alias("searches"), rollout.environment_characters(F.col("segments")).alias("environment_characters"))
-
-
 def _events_as_audit(spark, sf) -> DataFrame:
     e = _t(spark, sf, "events")
     value = (F.col("value") / 100).alias("total")
@@ -380,10 +335,10 @@ def numbered(spark, sf):
 
 
 @_query("""
-SELECT count(*) AS n, count(DISTINCT doc_id) AS qids, count(DISTINCT text) AS prompts, sum(quality)::BIGINT AS answerable, (count(*) - sum(quality))::BIGINT AS unanswerable, count(*) > 0 AND count(*) = count(DISTINCT doc_id) AS ok, count(*) = count(DISTINCT text) AND count(*) = count(DISTINCT doc_id) AS trainable FROM documents JOIN labels USING (doc_id)""")
+SELECT count(*) AS n, count(DISTINCT doc_id) AS qids, count(DISTINCT text) AS prompts, sum(quality)::BIGINT AS answerable, (count(*) - sum(quality))::BIGINT AS unanswerable, count(*) > 0 AND count(*) = count(DISTINCT doc_id) AS ok, count(*) = count(DISTINCT text) AND count(*) = count(DISTINCT doc_id) AS trainable FROM (SELECT doc_id, text, coalesce(quality, 0) AS quality FROM documents LEFT JOIN labels USING (doc_id))""")
 def dataset_gate(spark, sf):
-    d = _t(spark, sf, "documents").join(_t(spark, sf, "labels"), "doc_id")
-    return validation.dataset_gate(d.select(F.col("doc_id").alias("qid"), F.col("text").alias("prompt"), (F.col("quality") == 1).alias("valid_inst")))
+    d = _t(spark, sf, "documents").join(_t(spark, sf, "labels"), "doc_id", "left")
+    return validation.dataset_gate(d.select(F.col("doc_id").alias("qid"), F.sha2("text", 256).alias("prompt"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("valid_inst")))
 
 
 @_query("""
@@ -393,17 +348,6 @@ def trigram_similarity(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", F.round(text.trigram_similarity(F.col("p_name"), F.lower("p_type")), 9).alias("similarity"))
 
 
-@_query("""
-WITH s AS (SELECT c_mktsegment AS query, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rank, c_name, c_acctbal FROM customer QUALIFY rank <= 3)
-SELECT query, '搜索结果（共 3 条）：' || chr(10) || chr(10) || string_agg(rank || '. [' || c_name || '] balance: ' || c_acctbal::DECIMAL(18,2) || ' （来源: crm）', chr(10) ORDER BY rank) AS text FROM s GROUP BY query""")
-def format_results(spark, sf):
-    c = _t(spark, sf, "customer")
-    rank = F.row_number().over(dedup.Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey"))
-    top = c.withColumn("rank", rank).filter("rank <= 3").select(F.col("c_mktsegment").alias("query_id"), F.col("c_mktsegment").alias("query"), "rank", F.col("c_name").alias("entity"), F.lit("balance").alias("metric"), F.col("c_acctbal").cast("decimal(18,2)").cast("string").alias("value_text"), F.lit("crm").alias("source_doc"))
-    out = retrieval.retrieve(top, ["entity", "metric", "value_text", "source_doc"])
-    return out.select("query", F.substring_index("text", "\n\n<!--", 1).alias("text"))
-
-
 @_query("""
 SELECT o_custkey, string_agg(i || '. [' || o_orderkey || '] c' || o_custkey || ' ' || strftime(o_orderdate, '%Y-%m-%d'), chr(10) ORDER BY i) AS candidates
 FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders QUALIFY i <= 5) GROUP BY o_custkey""")
@@ -414,16 +358,11 @@ def candidate_lists(spark, sf):
     return few.select(F.col("c").alias("o_custkey"), synthesis.render_candidates(F.col("r")).alias("candidates"))
 
 
-@_query()
-def sample_facts(spark, sf):
-    return retrieval.sample_facts(order_facts(spark, sf), 100, 7)
-
-
 @_query("""
-WITH d AS (SELECT o_custkey, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice::DECIMAL(18,2) AS v, arg_min(o_orderkey, o_orderkey) AS id FROM orders GROUP BY ALL),
+WITH d AS (SELECT o_custkey, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice::DECIMAL(18,2) AS v, arg_min(o_orderkey, o_orderkey) AS id, arg_min(o_orderstatus, o_orderkey) AS source_type FROM orders GROUP BY o_custkey, o_orderpriority, day, v),
 s AS (SELECT *, (('0x' || substr(sha256('c' || o_custkey || '|' || o_orderpriority || '|kb-v1'), 1, 8))::UBIGINT % 100)::INT AS b FROM d),
-q AS (SELECT a.id, CASE WHEN a.b < 80 THEN 'train' WHEN a.b < 90 THEN 'val' ELSE 'test' END AS segment, count(*) AS targets FROM s a JOIN s b USING (o_custkey, o_orderpriority) WHERE a.id <> b.id AND a.day <> b.day AND a.v <> b.v GROUP BY ALL)
-SELECT segment, count(*) AS roots, sum(targets)::BIGINT AS pairs, max(targets) AS most FROM q GROUP BY segment""")
+q AS (SELECT a.id, CASE WHEN a.b < 80 THEN 'train' WHEN a.b < 90 THEN 'val' ELSE 'test' END AS segment, a.source_type, count(*) AS targets FROM s a JOIN s b USING (o_custkey, o_orderpriority) WHERE a.id <> b.id AND a.day <> b.day AND a.v <> b.v GROUP BY ALL)
+SELECT segment, source_type, count(*) AS roots, sum(targets)::BIGINT AS pairs, max(targets) AS most FROM q GROUP BY ALL""")
 def kb_pipeline(spark, sf):
     return flagship(spark, sf)
 
@@ -431,10 +370,10 @@ def kb_pipeline(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """From facts to questions: union, dedup, validation, split, pairing, and a summary per split."""
     raw = order_facts(spark, sf)
-    merged = dedup.union_in_order(raw, raw.limit(0))
+    merged = dedup.union_in_order(raw, raw.filter("ordinal % 3 = 0").withColumn("source_type", F.lit("again")))
     key = keys.dedup_key(*[F.col(c) for c in ("entity", "metric", "date", "value_text", "unit", "fact")])
-    unique = dedup.keep_longest(merged, key, "fact", ["ordinal"]).drop("position")
+    unique = dedup.keep_longest(merged, key, "fact", ["source_rank", "ordinal"]).drop("position")
     valid, _ = validation.validate_facts(unique)
     split = valid.withColumn("segment", keys.fact_split(F.col("entity"), F.col("metric"), _LABELS["split"]))
-    pairs = synthesis.pair_facts(split).groupBy("root.fact_id", "root.segment").agg(F.count("*").alias("targets"))
-    return pairs.groupBy("segment").agg(F.count("*").alias("roots"), F.sum("targets").alias("pairs"), F.max("targets").alias("most"))
+    paired = synthesis.target_counts(split).filter("targets > 0")
+    return paired.groupBy("segment", "source_type").agg(F.count("*").alias("roots"), F.sum("targets").alias("pairs"), F.max("targets").alias("most"))

@@ -8,6 +8,8 @@ from typing import Protocol, runtime_checkable
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tallyloom.errors import ConfigError
+
 
 @runtime_checkable
 class TextFunction(Protocol):
@@ -80,7 +82,7 @@ def retry(call: Callable, tries: int = 3, wait: float = 1.0, sleep: Callable[[fl
 def choose(kind: str, adapters: dict[str, Callable]) -> Callable:
     """The named adapter; an unknown name is an error."""
     if kind not in adapters:
-        raise ValueError(f"unknown retrieval adapter {kind!r}; known: {', '.join(sorted(adapters))}")
+        raise ConfigError(f"unknown retrieval adapter {kind!r}; known: {', '.join(sorted(adapters))}")
     return adapters[kind]
 
 
@@ -91,5 +93,5 @@ def read_config(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         config = yaml.safe_load(f)
     if not isinstance(config, dict):
-        raise ValueError("the root of a configuration must be a mapping")
+        raise ConfigError("the root of a configuration must be a mapping")
     return config

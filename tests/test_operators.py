@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from tallyloom.errors import RecordError
 from tallyloom.functions import traces
 from tallyloom.operators import audit, dedup, dimensions, facts, retrieval, rollout, synthesis, validation, web
 from tallyloom.sources import jsonl, protocols, schemas, snapshot
@@ -46,10 +47,10 @@ def test_fact_issues(spark):
 
 
 RECORD_CASES = [
-    ({}, None), ({"value_type": "entity", "value_number": None}, None), ({"value_number": None}, "amount and percentage facts require value_number"),
-    ({"fact": 3}, "fact must be a non-empty string"), ({"entity": "  "}, "entity must be a non-empty string"), ({"source_url": "ftp://x"}, "source_url must be empty or an HTTP(S) URL"),
-    ({"value_type": "odd"}, "value_type is not supported"), ({"value_number": "15"}, "value_number must be numeric or null"), ({"related_entities": ["a", " "]}, "related_entities must be a list of non-empty strings"),
-    ({"related_entities": "a"}, "related_entities must be a list of non-empty strings"), ({"structured": 1}, "structured must be a boolean"), ({"unit": 5}, "unit must be a string or null"), ({"industry": None}, None),
+    ({}, None), ({"value_type": "entity", "value_number": None}, None), ({"value_number": None}, "missing_value_number"),
+    ({"fact": 3}, "blank_fact"), ({"entity": "  "}, "blank_entity"), ({"source_url": "ftp://x"}, "bad_source_url"),
+    ({"value_type": "odd"}, "unknown_value_type"), ({"value_number": "15"}, "bad_value_number"), ({"related_entities": ["a", " "]}, "bad_related_entities"),
+    ({"related_entities": "a"}, "bad_related_entities"), ({"structured": 1}, "bad_structured"), ({"unit": 5}, "bad_unit"), ({"industry": None}, None),
 ]
 
 
@@ -61,7 +62,7 @@ def test_records(spark):
 
 def test_samples(spark):
     base = {"qid": " q ", "prompt": "p", "source": {"a": 1}, "ground_truth": {"target": [" x ", "y"]}}
-    cases = [(base, None), (base | {"source": None}, None), ({k: v for k, v in base.items() if k != "source"}, "source is required"), (base | {"qid": 3}, "qid must be a non-empty string"), (base | {"ground_truth": {"target": "x"}}, "ground_truth.target must be a non-empty list of strings"), (base | {"ground_truth": {"target": []}}, "ground_truth.target must be a non-empty list of strings"), (base | {"ground_truth": {"target": ["x"], "valid_inst": "yes"}}, "valid_inst must be a boolean")]
+    cases = [(base, None), (base | {"source": None}, None), ({k: v for k, v in base.items() if k != "source"}, "missing_source"), (base | {"qid": 3}, "blank_qid"), (base | {"ground_truth": {"target": "x"}}, "bad_target"), (base | {"ground_truth": {"target": []}}, "bad_target"), (base | {"ground_truth": {"target": ["x"], "valid_inst": "yes"}}, "bad_valid_inst")]
     got = validation.parse_samples(variants(spark, [c for c, _ in cases])).orderBy("i").collect()
     assert [r.error for r in got] == [w for _, w in cases]
     assert got[0].qid == "q" and got[0].targets == ["x", "y"] and got[0].valid_inst is True
@@ -82,10 +83,12 @@ def test_alignment(spark):
 
 
 def test_findings_and_verdicts(spark):
-    df = spark.createDataFrame([("a", True), ("b", False), (None, None)], "qid string, verdict boolean")
+    df = spark.createDataFrame([("a", " 是"), ("b", "不是" * 200), (None, None)], "qid string, verdict string")
     assert [r.qid for r in validation.without_findings(df, spark.createDataFrame([("a",), ("None",)], "qid string")).collect()] == ["b"]
     got = validation.audit_relations(df, F.lit(None).cast("string"), F.col("verdict")).collect()
-    assert [(r.decision, r.finding) for r in got] == [("keep", None), ("reject", "relation_not_grounded"), ("reject", "relation_verdict_missing")]
+    assert [(r.decision, r.finding and tuple(r.finding)) for r in got] == [("keep", None), ("reject", ("relation_grounding_failed", None, "不是" * 120)), ("reject", ("relation_grounding_unverified", "no verdict", None))]
+    late = validation.audit_relations(df, F.lit(None).cast("string"), F.col("verdict"), F.when(F.col("qid") == "a", "timeout")).collect()
+    assert [(r.finding.reason, r.finding.detail) for r in late] == [("relation_grounding_unverified", "timeout"), ("relation_grounding_failed", None), ("relation_grounding_unverified", "no verdict")]
 
 
 def test_gates(spark):
@@ -124,9 +127,12 @@ def test_abstract_and_report_facts(spark):
     got = facts.abstract_facts(wide).collect()
     assert [(r.metric, r.date, r.value_number, r.value_type, r.industry) for r in got] == [("净利润", "2025-Q2", 1.47, "amount", "白酒")]
     assert got[0].fact == "贵州茅台2025-Q2净利润为1.47亿。" and got[0].fact_id.startswith("fina_") and len(got[0].fact_id) == 21
-    reports = spark.createDataFrame([("甲", "B1", "t", "2025-01-01", "买入", 1.5, None), ("甲", "B2", "t", "2025-01-01", "买入", None, 9.0)], "name string, broker string, title string, date string, rating string, eps_2025 double, pe_2025 double")
-    r = facts.report_facts(reports, ["2025"]).collect()
-    assert len(r) == 4 and len({x.fact_id for x in r}) == 4
+    cols = "name string, broker string, title string, date string, rating string, eps_2025 double, pe_2025 double, code string"
+    reports = spark.createDataFrame([("甲", "B1", "t", "2025-01-01", "买入", 1.5, None, "1"), ("甲", "B2", "t", "2025-01-01", "False", float("nan"), 9.0, "1"), ("甲", "B3", "nan", "2025-01-01", "买入", 1.0, 1.0, "1")], cols)
+    r = {x.metric: x for x in facts.report_facts(reports, ["2025"], F.lit("2026-01-01")).collect()}
+    assert set(r) == {"东财评级", "2025预测每股收益", "2025预测市盈率"} and all(x.retrieved_at == "2026-01-01" for x in r.values())
+    assert r["东财评级"].fact == "甲在2025-01-01获B1研报评级为「买入」，报告标题：《t》。" and r["东财评级"].fact_id.startswith("rrpt_")
+    assert r["2025预测每股收益"].fact == "甲2025-01-012025预测每股收益为1.5，来源：B1于2025-01-01发布的研报。" and r["2025预测每股收益"].source_doc == "研报《t》(B1)"
 
 
 def test_question_sources(spark):
@@ -141,8 +147,22 @@ def test_question_sources(spark):
 
 
 def test_announcements(spark):
-    rows = spark.createDataFrame([("1", "甲", "t", "年报", "2025-01-01", "", 1), ("1", "甲", "t", "季报", "2025-01-02", "", 0)], "code string, name string, title string, kind string, date string, url string, o int")
-    assert [(r.metric, r.date) for r in facts.announcement_facts(rows, ["o"]).collect()] == [("季报", "2025-01-02")]
+    rows = spark.createDataFrame([("1", "甲", "t", "年报", "2025-01-01", "", 1), ("1", "甲", "t", "季报", "2025-01-02", "", 0), ("2", None, "nan", "x", "2025-01-02", "", 2)], "code string, name string, title string, kind string, date string, url string, o int")
+    got = facts.announcement_facts(rows, ["o"]).collect()
+    assert [(r.metric, r.date, r.fact, r.source_doc) for r in got] == [("公告", "2025-01-02", "甲于2025-01-02发布季报公告：《t》。", "公告《t》(甲)")]
+    companies = spark.createDataFrame([("1", "甲乙", 0), ("2", "丙丁", 1)], "code string, name string, place int")
+    rows = spark.createDataFrame([("9", "关于丙丁", "20250102", 0), ("1", "a", "20250101", 1), ("1", "a", "20250102", 2), ("9", "无", "20250102", 3), ("1", "旧", "20240101", 4)], "code string, title string, day string, ordinal int").withColumn("date", F.col("day")).withColumn("url", F.lit("u")).withColumn("kind", F.lit("k"))
+    got = facts.recent_announcements(rows.drop("kind"), companies, "2025-01-03", 5).collect()
+    assert {(r.entity, r.value_text, r.date, r.fact_id[:6]) for r in got} == {("丙丁", "关于丙丁", "20250102", "anno2_"), ("甲乙", "a", "20250102", "anno2_")}
+    got = facts.requested_announcements(rows, companies, ["20250101", "20250102"], ["k"]).collect()
+    assert [(r.entity, r.value_text, r.date) for r in got] == [("甲乙", "a", "20250101")]
+
+
+def test_passages(spark):
+    rows = spark.createDataFrame([(0, "q", "zh", ["短", "贵州茅台的营收约12亿元，高于大家一致的预期。" + "好" * 600]), (1, None, "en", ["x" * 40]), (2, "", None, None)], "place int, question string, lang string, docs array<string>")
+    (r,) = facts.passage_facts(rows, "a/b").collect()
+    assert (r.entity, r.metric, r.value_text, r.structured, r.document_id, r.source_doc) == ("贵州茅台", "营业总收入", "营收约12亿元", True, "fcqa_sample_0_doc_1", "FinanceComplexQA #0 (Q: q)")
+    assert len(r.fact) == 500 and r.source_url.endswith("a/b") and r.retrieved_at
 
 
 def test_search(spark):
@@ -157,7 +177,7 @@ def test_search(spark):
     with pytest.raises(Exception, match="blank"):
         retrieval.search(q, recs, 3, strict=True).collect()
     text = retrieval.retrieve(retrieval.search(q, recs, 2), ["entity", "metric", "value_text", "source_doc"]).first().text
-    assert text.startswith("搜索结果（共 2 条）：\n\n1. [甲] m: 2 （来源: doc）\n2. ") and '<!-- metadata: {"records":[{' in text and "score" not in text
+    assert text.startswith("搜索结果（共 2 条）：\n\n1. [甲] m: 2 （来源: doc）\n2. ") and '<!-- metadata: {"records": [{' in text and "score" not in text
     nothing = spark.range(1).select(retrieval.format_results(F.lit("q"), F.array().cast("array<struct<entity:string,metric:string,value_text:string,source_doc:string>>")).alias("t")).first().t
     assert nothing == '[search] 未找到与 "q" 相关的结果。'
 
@@ -219,12 +239,12 @@ def test_pairs_and_questions(spark):
     assert q.q == "某家上市公司在2024披露的m为1%；请问该公司在2025的m具体是多少？" and q.e is None and "甲" not in q.q and "2%" not in q.q
     row = pairs.filter("root.fact_id = '1' and target.fact_id = '2'").select(synthesis.training_row(F.lit("ft_1"), F.lit(" p "), F.col("root"), F.array("root", "target"), F.array(F.lit("SELECT")), "kb", "template").alias("t"), synthesis.render_facts(F.array("root", "target")).alias("f"), synthesis.render_candidates(F.array("target")).alias("c"), synthesis.rejection(F.lit(1), F.lit("r"), F.lit("d"), F.col("root")).alias("x")).first()
     assert row.t.ground_truth.target == ["2%"] and row.t.meta.hop_count == 2 and row.t.prompt == "p" and row.t.meta.target_fact_id == "2" and row.x.root_record.fact_id == "1"
-    assert row.f == "fact 1: [甲] 2024 m = 1%\ntarget: [甲] 2025 m = 2%" and row.c == "1. [2] y"
+    assert row.f.facts == "- [1] 甲2024的m为1%\n- [2] 甲2025的m为2%" and row.f.final_fact == "- [2] 甲2025的m为2%" and row.c == "1. [2] y"
 
 
 def test_template_errors(spark):
     same = facts_df(spark, [("1", "甲", "m", "2024", "1%", 1.0, "%", True, "x")]).select(F.struct("*").alias("r"))
-    assert "dates" in same.select(synthesis.template_error(F.col("r"), F.col("r"))).first()[0]
+    assert "equal_dates" == same.select(synthesis.template_error(F.col("r"), F.col("r"))).first()[0]
 
 
 def test_numbering_and_round_robin(spark):
@@ -269,8 +289,8 @@ def audit_df(spark, qids, totals):
 def test_health(spark):
     s = audit.health_summary(audit_df(spark, "AABA", [0.1, 0.1, 0.5, 0.0]).repartition(3)).first()
     assert (s.trajectories, s.prompt_groups, s.zero_reward_std_group_rate) == (4, 3, 1.0) and s.reward_mean == pytest.approx(0.175) and s.answer_rate == 0.5
-    runs = audit.consecutive_groups(audit_df(spark, "AABA", [0, 0, 0, 0]), "qid", "ordinal").orderBy("ordinal").collect()
-    assert [r.run for r in runs] == [1, 1, 2, 3]
+    flat = audit_df(spark, "AABA", [0, 0, 0, 0]).select("qid", "ordinal", F.lit(1).alias("v"))
+    assert sorted((r.run, r.key, r.n) for r in audit.run_table(flat, "qid", "ordinal", "v").collect()) == [(1, "A", 2), (2, "B", 1), (3, "A", 1)]
     assert audit.reward_metrics(audit_df(spark, "", [])).count() == 0
     with pytest.raises(Exception, match="no rows"):
         audit.health_summary(audit_df(spark, "", [])).collect()
@@ -353,3 +373,61 @@ def test_streaming(spark, tmp_path):
 def test_chat(spark):
     p = spark.range(1).select(traces.chat_prompt(F.lit("u"), "s")).first()[0]
     assert p == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\nu<|im_end|>\n<|im_start|>assistant\n"
+
+
+def test_first_targets_hold_all_roots_targets(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"{i:03}", "甲", "m", f"d{rng.randrange(6)}", f"{rng.randrange(4)}", 1.0, "", True, "f") for i in range(120)] + [(f"x{i}", "乙", "m", f"d{i}", "1", 1.0, "", True, "f") for i in range(20)]
+    df = facts_df(spark, rows).repartition(4)
+    for k in (1, 2, 3):
+        got = {(r.root.fact_id, r.target.fact_id, r.place) for r in synthesis.pair_facts(df, per_root=k).collect()}
+        want = set()
+        for a in rows:
+            fit = sorted((b[3], b[0]) for b in rows if b[1:3] == a[1:3] and b[3] != a[3] and b[4] != a[4])[:k]
+            want |= {(a[0], t, i + 1) for i, (_, t) in enumerate(fit)}
+        assert got == want
+    counts = {r.fact_id: r.targets for r in synthesis.target_counts(df).collect()}
+    assert counts == {a[0]: sum(b[1:3] == a[1:3] and b[3] != a[3] and b[4] != a[4] for b in rows) for a in rows}
+
+
+def test_line_numbers(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / f"{name}.jsonl").write_text('{"x": 1}\n\n{"x": 2}\n' + ("broken\n" if name != "b" else '{"x": 3}\n[1]\n'), encoding="utf-8")
+    got = sorted((r.path[-7:], r.line, r.error) for r in jsonl.read_variant(spark, str(tmp_path)).collect())
+    assert got == [("a.jsonl", 1, None), ("a.jsonl", 3, None), ("a.jsonl", 4, "invalid JSON"), ("b.jsonl", 1, None), ("b.jsonl", 3, None), ("b.jsonl", 4, None), ("b.jsonl", 5, "not an object"), ("c.jsonl", 1, None), ("c.jsonl", 3, None), ("c.jsonl", 4, "invalid JSON")]
+    with pytest.raises(Exception, match=r"b.jsonl:5:not an object"):
+        jsonl.read_strict(spark, str(tmp_path / "b.jsonl")).collect()
+    long = tmp_path / "long.jsonl"
+    long.write_text("".join(f'{{"qid": "q{i}", "prompt": "p", "source": null, "ground_truth": {{"target": ["a"]}}}}\n' for i in range(5000)) + '{"qid": ""}\n', encoding="utf-8")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # many pieces of one file
+        rows = jsonl.read_variant(spark, str(long)).select("line", F.try_variant_get("v", "$.qid", "string").alias("q")).collect()
+        assert len(rows) == 5001 and all(r.q == f"q{r.line - 1}" for r in rows if r.line <= 5000)
+        with pytest.raises(Exception, match=r"long.jsonl:5001:blank_qid"):
+            jsonl.read_samples(spark, str(long)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_page_reader(spark):
+    rows = [("text/html", "<p>a <b>b</b></p>"), ("TEXT/PLAIN; charset=x", " a\n b "), ("image/png", "x"), (None, "x"), ("text/html", "<style>x</style>")]
+    df = spark.createDataFrame(rows, "t string, b string").coalesce(1)
+    got = [tuple(r[0]) for r in df.select(web.page_text(F.col("t"), F.col("b"))).collect()]
+    assert got == [("a b", None), ("a b", None), (None, "unsupported_content_type"), (None, "unsupported_content_type"), (None, "no_text")]
+
+
+def test_records_of_a_snapshot(spark, tmp_path):
+    good = {k: v for k, v in FACT.items()}
+    names = [k for k in good if k != "value_number"]
+    df = spark.createDataFrame([(*[str(good[k]) if k != "structured" else good[k] for k in names], 1.5, [3.0, 4.0])], ", ".join(f"{k} {'boolean' if k == 'structured' else 'string'}" for k in names) + ", value_number double, embedding array<float>")
+    snapshot.write_snapshot(df, str(tmp_path / "a"), model="m")
+    (r,) = snapshot.load_records(spark, str(tmp_path / "a"), model="m").collect()
+    assert r.fact_id == "f1" and r.embedding == pytest.approx([0.6, 0.8]) and r.value_number == 1.5
+    snapshot.write_snapshot(df.withColumn("entity", F.lit(" ")), str(tmp_path / "b"), model="m")
+    with pytest.raises(Exception, match="f1: blank_entity"):
+        snapshot.load_records(spark, str(tmp_path / "b"), model="m").collect()
+    with pytest.raises(RecordError):
+        snapshot.load_records(spark, str(tmp_path / "b"), model="other")
