@@ -111,6 +111,20 @@ def tidy(function):
     return run
 
 
+def by_part(batches):
+    """Rows without their first column, part by part, of batches sorted by it: a part at a time is held."""
+    part, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != part and rows:
+                yield rows
+                rows = []
+            part = row[0]
+            rows.append(row[1:])
+    if rows:
+        yield rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

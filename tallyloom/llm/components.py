@@ -4,20 +4,47 @@ Each round replaces a node's edges by edges to the least node among its neighbou
 neighbours; small star: lesser ones) until every edge points to the least node of its component.  A round
 sends each edge a constant number of times; the least neighbours are partial aggregates, and the joins
 that hand them back have written tables on both sides, so that a hub's edges can be split over tasks.
+
+A graph of few edges (:data:`FEW`, some megabytes) is done in one task instead: it has the same result without the rounds.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import remove, shared_dir, written
+from tallyloom.llm.common import remove, shared_dir, tidy, written
+
+#: Edges of two 64-bit nodes that one task may hold.
+FEW = 1 << 18
+
+
+def _at_once(batches):
+    """(node, root) of all edges, by joining least nodes and shortening paths."""
+    pairs = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
+    if not pairs:
+        return
+    nodes, code = np.unique(np.concatenate([x for pair in zip(*pairs, strict=True) for x in pair]), return_inverse=True)
+    u, v = code[: len(code) // 2], code[len(code) // 2 :]
+    root = np.arange(len(nodes))
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[root[other]])], names=["node", "root"])
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, few: int = FEW) -> DataFrame:
     """(node, root) for each node of the undirected ``edges`` (u, v) but the roots; root is the component's least node.
 
-    Loops, repeated edges and nulls are dropped.  Without edges the result is empty.
+    Nodes are 64-bit numbers.  Up to ``few`` edges are done at once.  Loops, repeated edges and nulls are dropped.  Without edges the result is empty.
     """
     spark = edges.sparkSession
     scratch, n = shared_dir(spark), 0
@@ -44,6 +71,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     now = keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     state = mark(now)
+    if 0 < state[0] <= few:
+        return written(now.coalesce(1).mapInArrow(tidy(_at_once), "node long, root long"), f"{scratch}/roots")
     for _ in range(max_rounds):
         if not state[0]:
             break

@@ -7,19 +7,21 @@ candidates, which are verified by the exact Jaccard similarity of their shingle
 distributed union-find, and of each component the first line (by document, then place) stays.
 
 Keys travel in packed columns, one row per pair of tasks, so that a line costs no row per band.  Equal lines
-have one key set between them, whatever their number.  Keys that many different lines share are not
-expanded into pairs: their lines are gathered and only those not yet connected are compared.
+have one key set between them in a task, whatever their number.  Of a key that many different lines share, neighbours
+in an order of the key's own are compared first; of lines not connected by then, blocks meet blocks (see ``crowds``).
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import shared_dir, tidy, written
+from tallyloom.llm.common import by_part, parts_of, shared_dir, tidy, whole_row, written
 from tallyloom.llm.components import components
+from tallyloom.llm.crowds import crowd_links
 from tallyloom.llm.textbytes import LOWER_BYTES, SPACE_BYTES, text_slices, word_bounds
 
 #: Bytes in a character shingle (a machine word), bands and bins per band, least similarity.
@@ -28,6 +30,10 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 8, 12, 5, 0.8
 MASK_BITS = 1 << 24
 #: Up to so many different lines under one key, all pairs are candidates.
 SMALL_GROUP = 24
+#: Bytes of the table of lines per part that is compared at once, places in a task's list of lines sent.
+PART_BYTES, SENT = 32 << 20, 1 << 18
+#: Bits of a line's map of shingles, a power of two.
+MAP_BITS = 4096
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -131,10 +137,15 @@ def _rows(batches):
 
 def _emit(parts: int):
     def emit(batches):
-        """Keys of a chunk's different lines, packed by the task that will compare them."""
+        """Keys of the chunks' different lines, packed by the task that will compare them."""
+        sent = np.zeros(SENT, np.int64)  # hashes of lines sent before, one per place, so that few are sent twice
         for batch in batches:
             for i in range(batch.num_rows):
                 own, keys = np.frombuffer(batch.column(0)[i].as_py(), np.int64), np.frombuffer(batch.column(1)[i].as_py(), np.uint64)
+                place = own & (SENT - 1)
+                fresh = sent[place] != own
+                own, keys = own[fresh], keys.reshape(-1, BANDS)[fresh].reshape(-1)
+                sent[place[fresh]] = own
                 ids = np.repeat(own, BANDS)
                 to = (keys >> np.uint64(33)).astype(np.int64) % parts
                 order = np.argsort(to, kind="stable")
@@ -178,27 +189,24 @@ def _pick(bits: np.ndarray):
 
 
 def _meet(batches):
-    """Pairs of lines under small keys; (key, line) with b null under the others.  A task gets whole keys."""
-    parts: dict[int, list] = {}
-    for batch in batches:
-        for p, k, i in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            parts.setdefault(p, []).append((k, i))
-    for packed in parts.values():
+    """Pairs of lines under small keys and of neighbours under others; (key, line) with b null under the others."""
+    for packed in by_part(batches):
         keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _ in packed])
         ids = np.concatenate([np.frombuffer(i, np.int64) for _, i in packed])
         packed.clear()
-        order = np.lexsort((ids, keys))
+        order = np.lexsort((_mixed(ids.view(np.uint64) ^ keys), keys))
         keys, ids = keys[order], ids[order]
         fresh = np.ones(len(keys), bool)
         fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
         keys, ids = keys[fresh], ids[fresh]
         bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         length = np.diff(bounds)
-        small = np.repeat((length > 1) & (length <= SMALL_GROUP), length)
-        run, own = np.repeat(np.arange(len(length)), length)[small], ids[small]
-        found = [(own[:-s][same], own[s:][same]) for s in range(1, SMALL_GROUP) if len(own) > s for same in [run[s:] == run[:-s]]]
+        more = np.repeat(length > 1, length)
+        run, own, large = np.repeat(np.arange(len(length)), length)[more], ids[more], np.repeat(length > SMALL_GROUP, length)[more]
+        found = [(own[:-s][same], own[s:][same]) for s in range(1, SMALL_GROUP) if len(own) > s for same in [(run[s:] == run[:-s]) & (~large[s:] | (s == 1))]]
         if found:
-            pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], axis=1), axis=0)
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key", "a", "b"])
         large = np.repeat(length > SMALL_GROUP, length)
         if large.any():
@@ -228,22 +236,45 @@ def _sets(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, np.searchsorted(line, np.arange(len(lines) + 1)), members[fresh]
 
 
+def _possible(x: np.ndarray, line: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs may be similar enough: never false for one that is.
+
+    A line's shingles set bits of a map.  As many as one's map has beyond the other's, at least, are not shared; a line has
+    at least as many different shingles as its map has bits, at most as many as places.
+    """
+    maps = np.zeros((n, MAP_BITS), bool)
+    maps[line, (x >> np.uint64(20)).view(np.int64) & (MAP_BITS - 1)] = True
+    maps = np.packbits(maps, axis=1).view(np.uint64)
+    places, bits = np.bincount(line, minlength=n), np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), 1024):
+        p, q = a[k : k + 1024], b[k : k + 1024]
+        both = np.bitwise_count(maps[p] & maps[q]).sum(axis=1, dtype=np.int64)
+        only_p, only_q = bits[p] - both, bits[q] - both
+        out[k : k + 1024] = (places[p] - only_p >= least * (bits[q] + only_p)) & (places[q] - only_q >= least * (bits[p] + only_q))
+    return out
+
+
 def similar_pairs(lines: list[bytes], a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
     """For each pair of places in ``lines``, whether the Jaccard similarity of their shingle sets is at least that."""
-    sets, bounds, members = _sets(lines)
-    size, salt = np.diff(bounds), _salts(len(lines))
     out = np.zeros(len(a), bool)
-    fits = np.flatnonzero(np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]))
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
+    x, line = _shingles(np.frombuffer(b"".join(lines), np.uint8), offsets)
+    fits = np.flatnonzero(_possible(x, line, len(lines), a, b, least))
+    used, place = np.unique(np.concatenate([a[fits], b[fits]]), return_inverse=True)
+    a, b = place[: len(fits)], place[len(fits) :]
+    sets, bounds, members = _sets([lines[i] for i in used.tolist()])
+    size, salt = np.diff(bounds), _salts(len(used))
     for k in range(0, len(fits), 2048):
-        own = fits[k : k + 2048]
-        n = size[a[own]]
-        pair = np.repeat(np.arange(len(own)), n)
-        x = sets[np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + bounds[a[own]][pair]] ^ salt[b[own]][pair]
+        p, q = a[k : k + 2048], b[k : k + 2048]
+        n = size[p]
+        pair = np.repeat(np.arange(len(p)), n)
+        x = sets[np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + bounds[p][pair]] ^ salt[q][pair]
         order = np.argsort(x)  # sorted searches stay in the cache
         x = x[order]
         found = members[np.minimum(np.searchsorted(members, x), len(members) - 1)] == x
-        both = np.bincount(pair[order[found]], minlength=len(own))
-        out[own] = both >= least * (n + size[b[own]] - both)
+        both = np.bincount(pair[order[found]], minlength=len(p))
+        out[fits[k : k + 2048]] = both >= least * (n + size[q] - both)
     return out
 
 
@@ -259,53 +290,6 @@ def _verify(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
 
-def _connect(batches):
-    """(u, v): a spanning forest of the similar lines under each key, from rows (key, h, line) sorted by key."""
-    key, ids, lines = None, [], []
-
-    def forest():
-        flat, bounds, _ = _sets(lines)
-        size, rest, out = np.diff(bounds), np.arange(len(ids)), []
-        of = np.repeat(rest, size)
-        while len(rest):
-            front, rest = [int(rest[0])], rest[1:]
-            left = np.isin(of, rest)
-            flat, of = flat[left], of[left]
-            while front and len(rest):
-                x = front.pop()
-                own = sets_of[x]
-                place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                both = np.bincount(of, own[place] == flat, len(ids))[rest]
-                hit = both >= SIMILARITY * (size[rest] + len(own) - both)
-                if hit.any():
-                    near = rest[hit].tolist()
-                    out += [(ids[x], ids[i]) for i in near]
-                    front += near
-                    rest = rest[~hit]
-                    gone = np.zeros(len(ids), bool)
-                    gone[near] = True
-                    flat, of = flat[~gone[of]], of[~gone[of]]
-        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
-
-    def flush():
-        nonlocal sets_of
-        flat, bounds, _ = _sets(lines)
-        sets_of = [np.sort(x) for x in np.split(flat, bounds[1:-1])]
-        return forest()
-
-    sets_of: list[np.ndarray] = []
-    for batch in batches:
-        for k, h, line in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True):
-            if k != key and ids:
-                yield flush()
-                ids, lines = [], []
-            key = k
-            ids.append(h)
-            lines.append(line)
-    if ids:
-        yield flush()
-
-
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """(id, t, pos, keep_id, keep_pos, kept) for each line that isn't blank: kept or a near copy of an earlier line.
 
@@ -320,9 +304,9 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blobs = ("t", "doc", "place", "h", "different", "keys", "texts", "bounds")
     chunks = written(source.mapInArrow(tidy(_chunk), f"ids array<{kind}>, " + ", ".join(f"{b} binary" for b in blobs)), f"{scratch}/chunks", blobs=True)
-    n = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = parts or parts_of(spark, f"{scratch}/chunks", PART_BYTES)
     packed = chunks.select("different", "keys").mapInArrow(tidy(_emit(n)), "part long, keys binary, ids binary")
-    met = written(packed.repartition(n, "part").mapInArrow(tidy(_meet), "key long, a long, b long"), f"{scratch}/met")
+    met = written(packed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(tidy(_meet), "key long, a long, b long"), f"{scratch}/met")
     pairs = written(met.filter("key is null").select("a", "b").distinct(), f"{scratch}/pairs")
     crowds = met.filter("key is not null").select("key", F.col("a").alias("h"))
 
@@ -334,10 +318,11 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = written(picked.join(wanted, "h", "left_semi").dropDuplicates(["h"]), f"{scratch}/texts")
     with_a = pairs.join(texts.withColumnsRenamed({"h": "a", "line": "la"}), "a")
     with_b = with_a.join(texts.withColumnsRenamed({"h": "b", "line": "lb"}), "b").select("a", "b", "la", "lb").sortWithinPartitions("a")
-    close = with_b.mapInArrow(tidy(_verify), "u long, v long")
-    crowded = crowds.join(texts, "h").select("key", "h", "line").repartition("key").sortWithinPartitions("key", "h").mapInArrow(tidy(_connect), "u long, v long")
-    links = written(close.union(crowded), f"{scratch}/links")
-    roots = components(links)
+    roots = components(written(with_b.mapInArrow(tidy(_verify), "u long, v long"), f"{scratch}/links"))
+    if not crowds.isEmpty():
+        more = crowd_links(crowds, roots, texts.withColumnRenamed("line", "text"), lambda lines: _sets(lines)[:2], round(100 * SIMILARITY), scratch)
+        if more is not None and not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
 
     lines = chunks.select("ids", "t", "doc", "place", "h").mapInArrow(tidy(_rows), f"id {kind}, t long, pos int, h long")
     rows = lines.join(roots, F.col("h") == F.col("node"), "left")
@@ -352,13 +337,13 @@ def drop_lines(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_
 
     A document of which no line that isn't blank is left goes, unless it had none.
     """
-    gone = groups.groupBy(F.col(id_col).alias("__id"), F.col("t").alias("__t")).agg(F.sort_array(F.collect_list(F.when(~F.col("kept"), F.col("pos")))).alias("__drop"), F.count("*").alias("__n"))
-    gone = gone.filter(F.size("__drop") > 0)
-    own = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = own.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__t")), "left").filter("__drop is null or size(__drop) < __n")
+    gone = groups.groupBy(F.col(id_col).alias("id"), "t").agg(F.sort_array(F.collect_list(F.when(~F.col("kept"), F.col("pos")))).alias("drop"), F.count("*").alias("n"))
+    gone = gone.filter(F.size("drop") > 0).withColumnsRenamed({"id": "gone_id", "t": "gone_t"})
+    own = docs.select(whole_row(docs), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("t"))
+    joined = own.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("t") == F.col("gone_t")), "left").filter("drop is null or size(drop) < n")
 
     @F.pandas_udf("string")
-    def without(text, drop):
+    def without(text: pd.Series, drop: pd.Series) -> pd.Series:
         def cut(x, d):
             if d is None:
                 return x
@@ -367,5 +352,5 @@ def drop_lines(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_
 
         return text.combine(drop, cut)
 
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("__drop")))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("drop")))
+    return joined.select("row", text.alias("text")).select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
