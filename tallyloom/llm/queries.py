@@ -14,7 +14,7 @@ from tallyloom.llm.line_dedup import line_groups
 from tallyloom.llm.lm import lm_scores
 from tallyloom.llm.mixing import mix
 from tallyloom.llm.packing import pack
-from tallyloom.llm.secrets import corpus_words, scan, train_scanner
+from tallyloom.llm.secrets import corpus_words, labelled_findings, scan, train_scanner
 from tallyloom.llm.simhash import simhash_groups
 from tallyloom.llm.token_output import read_documents, write_tokens
 from tallyloom.llm.topk import exact_topk
@@ -60,8 +60,9 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return scan(docs, train_scanner(corpus_words(docs)), path=F.col("source"))
+    docs = documents(spark, sf_dir)  # without paths
+    words = corpus_words(docs)
+    return scan(docs, train_scanner(words, labelled_findings(docs, words)))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Operator 8: secret scans whose findings a random forest tells from false positives.
 
-A candidate is a run of token characters of some length with more than letters of one case, a value after a name such
-as ``password``, or a private-key block; of a very long run, the parts between separators too.  The forest looks at the candidate's length and character
+A candidate is a run of token characters of some length with more than letters of one case, parted where a name and its
+value meet at an equals sign; a whole three-part web token; a value after a name such as ``password``; or a private-key block.
+Of a very long run, the parts between separators are candidates too.  The forest looks at the candidate's length and character
 classes, how often those change, how likely its letter pairs are in words and how much of it dictionary words
-cover, at the path, and at the words around it.  It is trained on labelled findings; without such, on findings that
-are generated from a seed.  A result has places and hashes, never the secret itself.
+cover, at the path, and at the words around it.  It is trained on labelled findings: those that :func:`labelled_findings`
+labels in the corpus by plain rules, and findings generated from a seed for forms that the corpus lacks.  A result has places
+and hashes, never the secret itself.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from tallyloom.llm.textbytes import text_slices
 #: Least length of a run that is a candidate, length beyond which a run's parts are candidates too, bytes of context on each side.
 LEAST, MOST, CONTEXT = 16, 512, 64
 #: Generated findings, most labelled findings, trees, depth, words of the dictionary.
-GENERATED, MOST_LABELLED, TREES, DEPTH, DICTIONARY = 6000, 50_000, 31, 9, 4096
+GENERATED, MOST_LABELLED, TREES, DEPTH, DICTIONARY = 6000, 4000, 31, 9, 4096
 
 # Names that go before secrets, words that go with examples, words that go with digests, parts of test paths.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "api", "apikey", "key", "auth", "bearer", "credential", "credentials", "access", "private", "signature")
@@ -41,6 +43,8 @@ _NAMED = re.compile(
     rb"""(?=\s{0,3}"([^"\s]{6,})"|\s{0,3}'([^'\s]{6,})'|[ \t]{0,3}([^"'\s]{6,}))"""
 )
 _APART = (re.compile(rb"[^=/]+"), re.compile(rb"[^-=/+_]+"))
+_INNER = re.compile(rb"[^=]+=*")
+_JWT = re.compile(rb"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 _BLOCK = re.compile(rb"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")
 _WORD = re.compile(r"[a-z0-9]+")
 _PARTS = re.compile(r"[A-Za-z]{3,}")
@@ -171,7 +175,7 @@ def generated_findings(words: list[str], n: int = GENERATED, seed: int = 8) -> l
         elif form == 5:
             text, before = draw(alnum, int(rng.integers(16, 40))), fill() + pick(["example ", "sample ", "dummy ", "your "]) + pick(["token = ", "key: ", "secret="])
         elif form == 6:
-            text = draw(string.digits, int(rng.integers(16, 24)))
+            text, before, after = draw(string.digits, int(rng.integers(16, 24))), fill() + pick(["", "", "\"", "### ", "(", "no. ", "= ", "\n"]), pick(["", "\"", "$$$", ")", "."]) + after
         else:
             text = pick(["x", "0", "=", "-", "_"]) * int(rng.integers(16, 60)) + pick(["", "1", "A1"])
         out.append(((text, before, after, pick([path, "tests/fixtures/a.py", "docs/example.md"])), False))
@@ -185,15 +189,84 @@ def corpus_words(docs: DataFrame, text_col: str = "text", n: int = DICTIONARY) -
     return [r[0] for r in words.orderBy(F.desc("n"), "w").limit(n).collect()]
 
 
-def train_scanner(words: list[str], labelled: DataFrame | None = None, trees: int = TREES, seed: int = 8, most: int = MOST_LABELLED) -> Scanner:
-    """A forest over labelled findings (candidate, before, after, path, label), at most ``most`` of them, or generated ones."""
-    if labelled is None:
-        findings = generated_findings(words, seed=seed)
-    else:
+def label_of(candidate: str, before: str, after: str, covered: float) -> bool | None:
+    """The label that plain rules give a finding; None where they say nothing.
+
+    Secret: a name such as token or password and a separator stand right before it, nothing around it speaks of examples or
+    digests, and it mixes at least ten different characters, letters and digits.  Not a secret: digits only without such a name;
+    right after a word such as commit or sha256; next to a word such as example; made of words for the most part; fewer than
+    six different characters.
+    """
+    near, late = _WORD.findall(before.lower())[-3:], _WORD.findall(after.lower())[:2]
+    named = bool(near) and near[-1] in SECRET_WORDS and before.rstrip(" \t\"'`")[-1:] in ("=", ":", ">")
+    example = any(w in EXAMPLE_WORDS for w in near + late)
+    digest = bool(near) and near[-1] in DIGEST_WORDS
+    mixed = any(c.isdigit() for c in candidate) and any(c.isalpha() for c in candidate)
+    if named and mixed and len(set(candidate)) >= 10 and not example and not any(w in DIGEST_WORDS for w in near) and covered < 0.5:
+        return True
+    if (candidate.isdigit() and not named) or digest or example or covered >= 0.6 or len(set(candidate)) < 6:
+        return False
+    return None
+
+
+def _views(batches, context: int = CONTEXT):
+    """Of each slice of documents: its candidates, (id, document, rule, start and end in bytes) and the texts (candidate, before, after)."""
+    for batch in batches:
+        at = 0
+        for data, offsets in text_slices(batch.column(1)):
+            n = len(offsets) - 1
+            data, offsets = np.insert(data, offsets[1:], 0x0A), offsets + np.arange(n + 1)  # no pattern joins two documents
+            raw = data.tobytes()
+            found = list(_candidates(data, offsets))
+            if found:
+                doc = np.searchsorted(offsets, [a for _, a, _ in found], "right") - 1
+                views = []
+                for (_, a, b), d in zip(found, doc.tolist(), strict=True):
+                    low, high = max(int(offsets[d]), a - context), min(int(offsets[d + 1]), b + context)
+                    views.append((raw[a:b].decode("utf-8", "replace"), raw[low:a].decode("utf-8", "ignore"), raw[b:high].decode("utf-8", "ignore")))
+                yield batch.slice(at, n), data, offsets, doc, found, views
+            at += n
+
+
+def labelled_findings(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_col: str = "text", path: Column | None = None) -> DataFrame:
+    """(id, candidate, before, after, path, label) for the candidates in whole texts that :func:`label_of` labels.
+
+    The table holds secrets in the clear: it is for training and is not written.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    known = frozenset(words)
+
+    def label(batches):
+        for batch, _, _, doc, _, views in _views(batches):
+            covered = [sum(len(w) for w in _PARTS.findall(c) if w.lower() in known) / len(c) for c, _, _ in views]
+            labels = [label_of(c, x, y, share) for (c, x, y), share in zip(views, covered, strict=True)]
+            some = [i for i, v in enumerate(labels) if v is not None]
+            at = pa.array(doc[some])
+            columns = [pa.array([views[i][k] for i in some], pa.string()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *columns, batch.column(2).take(at), pa.array([labels[i] for i in some], pa.bool_())], names=["id", "candidate", "before", "after", "path", "label"])
+
+    rows = _rows(docs, id_col, text_col, path)
+    return rows.mapInArrow(tidy(label), f"`{id_col}` {kind}, candidate string, before string, after string, path string, label boolean")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, path: Column | None) -> DataFrame:
+    where = F.coalesce(path.cast("string") if path is not None else F.lit(""), F.lit(""))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), where.alias("path"))
+
+
+def train_scanner(words: list[str], labelled: DataFrame | None = None, trees: int = TREES, seed: int = 8, most: int = MOST_LABELLED, generated: int = GENERATED) -> Scanner:
+    """A forest over labelled findings (candidate, before, after, path, label) and ``generated`` made ones.
+
+    Of each label at most ``most`` / 2 labelled findings are taken, those first in a hash order of their contents.
+    """
+    findings = generated_findings(words, generated, seed)
+    if labelled is not None:
         cols = ("candidate", "before", "after", "path")
         clean = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols]
         rows = labelled.filter("candidate <> '' and label is not null").select(*clean, F.col("label").cast("boolean").alias("label"))
-        findings = [((r[0], r[1], r[2], r[3]), r[4]) for r in rows.orderBy(F.xxhash64(*cols)).limit(most).collect()]
+        for label in (True, False):
+            some = rows.filter(F.col("label") == label).orderBy(F.xxhash64(*cols, F.lit(seed)), *cols).limit(most // 2)
+            findings += [((r[0], r[1], r[2], r[3]), r[4]) for r in some.collect()]
     pairs = np.ones((26, 26))
     for w in words:
         for a, b in zip(w, w[1:], strict=False):
@@ -222,10 +295,19 @@ def _candidates(data: np.ndarray, offsets: np.ndarray):
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     fit = ends - starts >= LEAST
     seen: set[tuple[int, int]] = set()
+    docs = np.asarray(offsets)
+    whole_tokens = [m.span() for m in _JWT.finditer(raw)]
+    for a, b in whole_tokens:
+        seen.add((a, b))
+        yield "web_token", a, b
+    within = np.array([a for a, _ in whole_tokens] or [-1])
     for low, high in zip(starts[fit].tolist(), ends[fit].tolist(), strict=True):
-        spans = [(low, high)]
+        k = int(np.searchsorted(within, low, "right")) - 1
+        if whole_tokens and k >= 0 and high <= whole_tokens[k][1]:
+            continue  # a part of a web token
+        spans = [m.span() for m in _INNER.finditer(raw, low, high)]
         if high - low > MOST:
-            spans += [m.span() for apart in _APART for m in apart.finditer(raw, low, high)]
+            spans += [(low, high), *(m.span() for apart in _APART for m in apart.finditer(raw, low, high))]
         for a, b in spans:
             whole = a, b
             while a < b and raw[a] in b"=-/+_":
@@ -236,7 +318,6 @@ def _candidates(data: np.ndarray, offsets: np.ndarray):
             if len(part) >= LEAST and (a, b) not in seen and not (part[1:].islower() and part.isalpha() or part.isalpha() and part.isupper()):
                 seen |= {whole, (a, b)}
                 yield "token", a, b
-    docs = np.asarray(offsets)
     for m in _NAMED.finditer(raw):
         a, b = m.span(m.lastindex)
         b = a + len(raw[a:b].rstrip(b",;")) if m.lastindex == 3 else b
@@ -255,31 +336,17 @@ def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
     Rows that repeat an id give their candidates each.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(path.cast("string") if path is not None else F.lit(""), F.lit("")).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def find(batches):
-        for batch in batches:
-            at = 0
-            for data, offsets in text_slices(batch.column(2)):
-                docs_n = len(offsets) - 1
-                data, offsets = np.insert(data, offsets[1:], 0x0A), offsets + np.arange(docs_n + 1)  # no pattern joins two documents
-                raw = data.tobytes()
-                found = list(_candidates(data, offsets))
-                if found:
-                    doc = np.searchsorted(offsets, [a for _, a, _ in found], "right") - 1
-                    paths = batch.column(1).slice(at, docs_n).take(pa.array(doc)).to_pylist()
-                    views = []
-                    for (_, a, b), d, p in zip(found, doc.tolist(), paths, strict=True):
-                        low, high = max(int(offsets[d]), a - CONTEXT), min(int(offsets[d + 1]), b + CONTEXT)
-                        views.append((raw[a:b].decode("utf-8", "replace"), raw[low:a].decode("utf-8", "ignore"), raw[b:high].decode("utf-8", "ignore"), p))
-                    chance = scanner.probability(scanner.features(views))
-                    rules = [r for r, _, _ in found]
-                    chance[[r == "private_key" for r in rules]] = 1.0
-                    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                    begin, end = (np.array([x[k] for x in found]) for k in (1, 2))
-                    columns = [batch.column(0).slice(at, docs_n).take(pa.array(doc)), pa.array(rules), pa.array(points[begin] - points[offsets[doc]]), pa.array(points[end] - points[begin])]
-                    columns += [pa.array([hashlib.sha256(raw[a:b]).hexdigest() for _, a, b in found]), pa.array(chance), pa.array(chance >= threshold)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["id", "rule", "start", "length", "sha256", "probability", "is_secret"])
-                at += docs_n
-
-    return rows.mapInArrow(tidy(find), f"`{id_col}` {kind}, rule string, start long, length long, sha256 string, probability double, is_secret boolean")
+        for batch, data, offsets, doc, found, views in _views(batches):
+            paths = batch.column(2).take(pa.array(doc))
+            chance = scanner.probability(scanner.features([(*v, p) for v, p in zip(views, paths.to_pylist(), strict=True)]))
+            rules = [r for r, _, _ in found]
+            chance[[r == "private_key" for r in rules]] = 1.0
+            points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            begin, end = (np.array([x[k] for x in found]) for k in (1, 2))
+            columns = [batch.column(0).take(pa.array(doc)), pa.array(rules), pa.array(points[begin] - points[offsets[doc]]), pa.array(points[end] - points[begin])]
+            columns += [pa.array([hashlib.sha256(data[a:b].tobytes()).hexdigest() for _, a, b in found]), pa.array(chance), pa.array(chance >= threshold)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "rule", "start", "length", "sha256", "probability", "is_secret"])
+
+    return _rows(docs, id_col, text_col, path).mapInArrow(tidy(find), f"`{id_col}` {kind}, rule string, start long, length long, sha256 string, probability double, is_secret boolean")
