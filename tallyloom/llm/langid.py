@@ -66,7 +66,7 @@ def _trigrams(column: pa.Array):
 def train_text_model(docs: DataFrame, label_col: str = "lang", text_col: str = "text") -> TextModel:
     """Trigram counts of all labelled rows and whole texts, with one added to each cell.
 
-    Rows with a null or empty label are left out.  Without labelled rows the model has only unknown.
+    Rows with a null or empty label are left out, and labels without any trigram.  Without labelled rows the model has only unknown.
     """
     rows = docs.filter(F.col(label_col) != "").select(F.col(label_col).alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     labels = [r[0] for r in rows.select("label").distinct().limit(MOST_LANGUAGES + 1).collect()]
@@ -91,6 +91,8 @@ def train_text_model(docs: DataFrame, label_col: str = "lang", text_col: str = "
         for cell, n in rows.mapInArrow(tidy(count), "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():  # at most CELLS per language
             counts[cell] += n
     counts = counts.reshape(len(labels), CELLS)
+    learnt = counts.sum(axis=1) > CELLS  # a label whose texts have no trigram is no language
+    labels, counts = [x for x, some in zip(labels, learnt.tolist(), strict=True) if some], counts[learnt]
     logp = np.log(counts / counts.sum(axis=1, keepdims=True))
     return TextModel(tuple(labels), np.vstack([logp, np.full(CELLS, -np.log(CELLS))]).astype(np.float32))
 
