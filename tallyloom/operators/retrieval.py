@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from tallyloom.functions.text import trim
 # Hosts of exchanges and regulators, which come first.
 PREFERRED_DOMAINS = ("cninfo.com.cn", "sse.com.cn", "szse.cn", "csrc.gov.cn", "hkexnews.hk")
 SEARCH_LIMIT, DOCUMENT_LIMIT, TOP_K = 6, 3, 3
+#: Bytes of query vectors that may go to every task.
+FEW_BYTES = 8 << 20
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -18,11 +23,12 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def search(queries: DataFrame, records: DataFrame, k: int = TOP_K, strict: bool = False, query_vector: str = "vector", vector: str = "embedding", query_id: str = "query_id", id_col: str = "fact_id", text: str | None = "query", blocks: int = 64, few: int = 2000) -> DataFrame:
+def search(queries: DataFrame, records: DataFrame, k: int = TOP_K, strict: bool = False, query_vector: str = "vector", vector: str = "embedding", query_id: str = "query_id", id_col: str = "fact_id", text: str | None = "query", blocks: int = 64, few_bytes: int = FEW_BYTES) -> DataFrame:
     """Each query's ``k`` best records with ``score`` and ``rank``: highest product, ties to the smaller id.
 
-    A blank query or ``k`` below 1 gives nothing, with ``strict`` an error.  Up to ``few`` queries go to the records
-    as they lie, and each task ranks its own best first.  More queries are repeated per block of records, and a
+    A blank query or ``k`` below 1 gives nothing, with ``strict`` an error.  Records whose vector is null or of another length
+    than a query's take no part for it.  Queries of at most ``few_bytes`` in all go to the records as they lie, as one matrix:
+    a batch of records is one product, and only a batch's best leave it.  More queries are repeated per block of records, and a
     block's best are ranked before blocks meet.
     """
     if k < 1 and strict:
@@ -31,16 +37,52 @@ def search(queries: DataFrame, records: DataFrame, k: int = TOP_K, strict: bool
     if text and text in queries.columns:
         some = F.coalesce(trim(F.col(text)) != "", F.lit(False))
         asked = asked.filter(F.assert_true(some, "query must not be blank").isNull()) if strict else asked.filter(some)
-    if asked.limit(few + 1).count() <= few:
-        met = records.join(F.broadcast(asked)).withColumn("score", inner_product(F.col("__q"), F.col(vector)))
-        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)))
-        return ranked.filter(F.col("rank") <= max(k, 0)).drop("__q", vector)
+    asked = asked.filter("__q is not null")
+    k = max(k, 0)
+    order = [F.desc("score"), F.col(id_col)]
+    size = asked.agg(F.coalesce(F.sum(F.size("__q")), F.lit(0)) * 8, F.count("*")).first()
+    if size[0] + 64 * size[1] <= few_bytes and k:
+        rows = asked.select(query_id, "__q").collect()  # few_bytes at most
+        met = _products(records, rows, k, vector, id_col)
+        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("__nth").orderBy(*order))).filter(F.col("rank") <= k)
+        named = records.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], f"__nth int, `{query_id}` {asked.schema[query_id].dataType.simpleString()}")
+        return ranked.join(F.broadcast(named), "__nth").join(F.broadcast(asked.drop("__q")), query_id).drop("__nth") if rows else records.drop(vector).limit(0).crossJoin(asked.drop("__q")).withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(1))
     block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
     parts = asked.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = records.withColumn("__block", block).join(parts, "__block").withColumn("score", inner_product(F.col("__q"), F.col(vector)))
-    best = met.withColumn("__r", F.row_number().over(Window.partitionBy(query_id, "__block").orderBy(F.desc("score"), id_col))).filter(F.col("__r") <= max(k, 0))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)))
-    return ranked.filter(F.col("rank") <= max(k, 0)).drop("__q", "__block", "__r", vector)
+    met = records.withColumn("__block", block).join(parts, "__block").filter(F.size("__q") == F.size(vector)).withColumn("score", inner_product(F.col("__q"), F.col(vector)))
+    best = met.withColumn("__r", F.row_number().over(Window.partitionBy(query_id, "__block").orderBy(*order))).filter(F.col("__r") <= k)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*order)))
+    return ranked.filter(F.col("rank") <= k).drop("__q", "__block", "__r", vector)
+
+
+def _products(records: DataFrame, rows: list, k: int, vector: str, id_col: str) -> DataFrame:
+    """Records without their vectors, with ``score`` and ``__nth``, the query's place in ``rows``: each batch's ``k`` best per query."""
+    keep = [c for c in records.columns if c != vector]
+    by_length: dict[int, tuple[list[int], np.ndarray]] = {}
+    for length in {len(r[1]) for r in rows}:
+        own = [i for i, r in enumerate(rows) if len(r[1]) == length]
+        by_length[length] = own, np.array([rows[i][1] for i in own], float)
+
+    def best(batches):
+        for batch in batches:
+            vectors, ids = batch.column(len(keep)), batch.column(keep.index(id_col))
+            lengths = np.array(pc.fill_null(pc.list_value_length(vectors), -1))
+            for length, (own, matrix) in by_length.items():
+                at = np.flatnonzero(lengths == length)
+                if not len(at):
+                    continue
+                flat = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, length)
+                scores = matrix @ flat.T
+                names = np.array(ids.take(pa.array(at)).to_pylist(), object)
+                for q, s in zip(own, scores, strict=True):
+                    some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
+                    if len(some) > k:
+                        some = np.array(sorted(some.tolist(), key=lambda j: (-s[j], names[j] is not None, names[j]))[:k])  # noqa: B023
+                    out = batch.take(pa.array(at[some]))
+                    yield pa.RecordBatch.from_arrays([*out.columns[: len(keep)], pa.array(s[some]), pa.array(np.full(len(some), q), pa.int32())], names=[*keep, "score", "__nth"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.select(*keep).schema.fields)
+    return records.select(*keep, vector).mapInArrow(best, f"{fields}, score double, __nth int")
 
 
 def spaced_json(r: Column, fields: list[str]) -> Column:

@@ -180,14 +180,12 @@ def round_robin_roots(spark, sf):
 
 
 @_query("""
-WITH q AS (SELECT label AS query_id, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY ALL) GROUP BY label),
-s AS (SELECT query_id, vec_id, list_inner_product(v, embedding::DOUBLE[]) AS score FROM q, embeddings)
+WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND q.vec_id % 3 > 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, round(score, 6) AS score FROM s QUALIFY rank <= 3""")
 def vector_topk(spark, sf):
     e = _t(spark, sf, "embeddings")
-    means = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    q = means.groupBy(F.col("label").alias("query_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector"))
-    found = retrieval.search(q, e.select("vec_id", "embedding"), 3, id_col="vec_id", text=None, blocks=8)
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") % 3 > 0, "q").otherwise(" ").alias("query"), F.col("embedding").alias("vector"))
+    found = retrieval.search(q, e.select("vec_id", "embedding"), 3, id_col="vec_id")
     return found.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 

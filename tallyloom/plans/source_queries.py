@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.errors import DatasetError
+from tallyloom.errors import ConfigError, DatasetError
 from tallyloom.operators import audit, facts, validation
 from tallyloom.plans.registry import DAY, PRICE, cases, query, table
-from tallyloom.sources import jsonl, snapshot
+from tallyloom.sources import jsonl, protocols, snapshot
+from tallyloom.sources.protocols import RunConfig
 from tallyloom.sources.schemas import REWARD
 from tallyloom.sources.scratch import scratch_dir
 
@@ -165,3 +166,35 @@ def metric_sink(spark, sf):
     audit.report_metrics(batch, got.update)
     audit.report_metrics(batch.limit(0), lambda _: got.clear())
     return spark.createDataFrame([(k, round(got[k], 9)) for k in ("answer_rate", "total_mean", "count")], "name string, value double")
+
+
+@query("""
+SELECT i, CASE WHEN i % 2 = 1 THEN 'batch_size must be a multiple of num_generations|' ELSE '' END || CASE WHEN i % 3 = 1 THEN 'max_steps must be at least 1|' ELSE '' END || CASE WHEN i % 3 <> 2 AND i % 5 = 0 THEN 'generation by an engine takes max_steps 1|' ELSE '' END AS errors, CASE i % 3 WHEN 0 THEN 'kb' WHEN 1 THEN 'tool_aware' ELSE 'refused' END AS adapter, 25 AS rounds FROM range(30) r(i)""")
+def config_rules(spark, sf):
+    """Run configurations and adapter names: what is checked before a run, on the driver."""
+    adapters = {"kb": lambda: "kb", "tool_aware": lambda: "tool_aware"}
+    rows = []
+    for i in range(30):
+        config = RunConfig(num_generations=4, batch_size=8 + i % 2, max_steps=(2, 0, 1)[i % 3], use_vllm=i % 5 == 0)
+        try:
+            adapter = protocols.choose(("kb", "tool_aware", "other")[i % 3], adapters)()
+        except ConfigError:
+            adapter = "refused"
+        rows.append((i, "".join(f"{x}|" for x in validation.config_errors(vars(config))), adapter, config.max_rounds))
+    return spark.createDataFrame(rows, "i long, errors string, adapter string, rounds int")
+
+
+class Upper:
+    """Stands for an outside text function: some calls fail."""
+
+    def __call__(self, texts: list[str]) -> list[str]:
+        if any("7" in x for x in texts):
+            raise OSError("busy")
+        return [x.upper() for x in texts]
+
+
+@query("""
+SELECT c_custkey, CASE WHEN contains(c_custkey::VARCHAR, '7') THEN NULL ELSE 'K' || c_custkey END AS answer, CASE WHEN contains(c_custkey::VARCHAR, '7') THEN 'OSError: busy' END AS answer_error FROM customer""")
+def outside_function(spark, sf):
+    c = table(spark, sf, "customer").selectExpr("c_custkey", "'k' || c_custkey AS asked")
+    return protocols.apply_text(c, "asked", "answer", Upper).drop("asked")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol, runtime_checkable
 
 import pandas as pd
@@ -86,6 +87,29 @@ def choose(kind: str, adapters: dict[str, Callable]) -> Callable:
     return adapters[kind]
 
 
+@dataclass(frozen=True)
+class RunConfig:
+    """A training run's settings; the defaults are those of a full run."""
+
+    max_rounds: int = 25
+    num_generations: int = 4
+    batch_size: int = 4
+    max_steps: int = 1
+    use_vllm: bool = False
+    trace_path: str | None = None
+    trace_exists: bool = False
+    append_trace: bool = False
+
+
+# Rounds, generations and steps of the runs that are known.
+RUNS = {
+    "smoke": RunConfig(max_rounds=2, num_generations=2, batch_size=2, max_steps=1),
+    "pilot": RunConfig(max_rounds=8, num_generations=4, max_steps=10),
+    "template_pilot": RunConfig(max_rounds=4, num_generations=4, max_steps=10),
+    "formal": RunConfig(max_rounds=4, num_generations=4, max_steps=100),
+}
+
+
 def read_config(path: str) -> dict:
     """A YAML file whose root is a mapping."""
     import yaml

@@ -181,3 +181,10 @@ def test_token_lists(spark):
     part = lambda o, i: F.struct(F.lit(o).alias("owner"), F.array(F.lit(i)).alias("ids"), F.array(F.lit(-1.0)).alias("logprobs"))
     assert tuple(one(spark, traces.completion_lists(F.array(part("assistant", 1), part("environment", 2))), x="")) == ([1, 2], [1, 0], [-1.0, 0.0])
     assert one(spark, traces.observation_bridge(F.lit("o")), x="").endswith("assistant\n")
+
+
+def test_public_names():
+    from tallyloom import api
+
+    assert {"search", "build_facts", "breakdown", "read_samples", "load_records", "RunConfig", "TallyloomError"} <= set(api.__all__)
+    assert all(hasattr(api, name) for name in api.__all__) and issubclass(api.RecordError, api.TallyloomError)

@@ -170,7 +170,7 @@ def test_search(spark):
     q = spark.createDataFrame([(1, "x", [1.0, 0.0]), (2, " ", [1.0, 0.0])], "query_id int, query string, vector array<float>")
     got = retrieval.search(q, recs, 3).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.fact_id, r.score) for r in got] == [(1, "2", 2.0), (1, "5", 2.0), (1, "1", 1.0)]
-    assert retrieval.search(q, recs, 3, few=0, blocks=3).orderBy("query_id", "rank").select(*got[0].asDict()).collect() == got
+    assert retrieval.search(q, recs, 3, few_bytes=0, blocks=3).orderBy("query_id", "rank").select(*got[0].asDict()).collect() == got
     assert retrieval.search(q, recs, 0).count() == 0 and retrieval.search(q, recs, 99).count() == 7
     with pytest.raises(ValueError, match="at least 1"):
         retrieval.search(q, recs, 0, strict=True)
