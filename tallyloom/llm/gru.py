@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, PER_CLASS, STEPS, LANES, RATE = 8, 32, 20, 256, 0.01
+HIDDEN, PER_CLASS, STEPS, LANES, RATE = 16, 32, 20, 256, 0.01
 
 
 class Shape:

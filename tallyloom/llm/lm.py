@@ -12,29 +12,43 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import remove, shared_dir, tidy, written
+from tallyloom.llm.common import by_part, parts_of, remove, shared_dir, tidy, written
 from tallyloom.llm.gru import Model, Shape, initial
 from tallyloom.llm.textbytes import text_slices, word_bounds, words_array
 
-#: Frequent words that are symbols of their own, bytes of text in a chunk, folds.
-TOP, CHUNK_BYTES = 1024, 8 << 20
+#: Frequent words that are symbols of their own, bytes of text in a chunk, bytes of chunks per part in which words are counted.
+TOP, CHUNK_BYTES, PART_BYTES = 1024, 16 << 20, 32 << 20
 LOG10 = 1 / np.log(10)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
+def _gathered(batches):
+    """Batches joined to about a chunk's bytes of text (the third column), so that a long document shares its chunk with many."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(2))).as_py() or 0
+        if size >= CHUNK_BYTES:
+            yield [pa.concat_arrays([x.column(i) for x in held]) for i in range(3)]
+            held, size = [], 0
+    if held:
+        yield [pa.concat_arrays([x.column(i) for x in held]) for i in range(3)]
+
+
 def _encode(batches):
     """A row per chunk: ids, held, tokens and codes of its documents, distinct words, their counts in training documents."""
     from pyspark import TaskContext
 
     part, n = TaskContext.get().partitionId(), 0
-    for batch in batches:
+    for ids_all, held_all, texts in _gathered(batches):
         at = 0
-        held_all = batch.column(1).to_numpy(zero_copy_only=False)
-        for data, offsets in text_slices(batch.column(2), CHUNK_BYTES):
+        held_all = held_all.to_numpy(zero_copy_only=False)
+        for data, offsets in text_slices(texts, 2 * CHUNK_BYTES):  # one slice, but for very long documents
             docs = len(offsets) - 1
             starts, ends = word_bounds(data, offsets)
             coded = words_array(_LOWER[data], starts, ends).dictionary_encode()
@@ -46,7 +60,7 @@ def _encode(batches):
             bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
             raw = words.buffers()[2].to_pybytes() if len(words) and words.buffers()[2] is not None else b""
             one = lambda x: pa.array([x.tobytes()], pa.binary())
-            ids = pa.ListArray.from_arrays(pa.array([0, docs], pa.int32()), batch.column(0).slice(at, docs))
+            ids = pa.ListArray.from_arrays(pa.array([0, docs], pa.int32()), ids_all.slice(at, docs))
             yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + n], pa.int64()), ids, one(held), one(lengths), one(codes), pa.array([raw[bounds[0] : bounds[-1]] if len(words) else b""], pa.binary()), one(bounds - bounds[0] if len(words) else np.zeros(1, np.int32)), one(counts)], names=["chunk", "ids", "held", "lengths", "codes", "words", "bounds", "counts"])
             n, at = n + 1, at + docs
 
@@ -56,7 +70,7 @@ def _words(raw: bytes, bounds: np.ndarray) -> pa.Array:
 
 
 def _part_of(words: pa.Array, parts: int) -> np.ndarray:
-    """Which task owns each word: a mix of its length and first and last bytes, the same everywhere."""
+    """Which part owns each word, by its CRC: the same everywhere."""
     import zlib
 
     return np.fromiter((zlib.crc32(w) % parts for w in words.to_pylist()), np.int64, len(words))
@@ -83,11 +97,7 @@ def _send(parts: int):
 def _count(top: int):
     def count(batches):
         """Totals for each chunk's words (kind 0), and the frequent words (1) and counts of counts (2) of this part."""
-        parts: dict[int, list] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts.setdefault(row[0], []).append(row[1:])
-        for rows in parts.values():
+        for rows in by_part(batches):
             words = pa.concat_arrays([_words(r[1], np.frombuffer(r[2], np.int32)) for r in rows]).dictionary_encode()
             codes = words.indices.to_numpy(zero_copy_only=False)
             counts = np.concatenate([np.frombuffer(r[4], np.int64) for r in rows])
@@ -144,9 +154,9 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chunks = written(rows.mapInArrow(tidy(_encode), f"chunk long, ids array<{kind}>, held binary, lengths binary, codes binary, words binary, bounds binary, counts binary"), f"{scratch}/chunks", blobs=True)
     n_train, n_chunks = (rows.agg(F.sum((~F.col("held")).cast("long"))).first()[0] or 0), chunks.count()
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_of(spark, f"{scratch}/chunks", PART_BYTES)
     sent = chunks.select("chunk", "words", "bounds", "counts").mapInArrow(tidy(_send(parts)), "part long, chunk long, words binary, bounds binary, places binary, counts binary")
-    counted = written(sent.repartition(parts, "part").mapInArrow(tidy(_count(top)), "kind int, n long, a binary, b binary"), f"{scratch}/counted")
+    counted = written(sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(_count(top)), "kind int, n long, a binary, b binary"), f"{scratch}/counted")
 
     frequent = [(bytes(r[1]), r[0]) for r in counted.filter("kind = 1").select("n", "a").orderBy(F.desc("n"), "a").limit(top).collect()]
     bands = counted.filter("kind = 2").select("a", "b").mapInArrow(tidy(_sum_bands), "band long, words long, tokens long, twice long")

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import string
@@ -361,6 +362,82 @@ def test_lm_learns(spark):
     assert held[1] > held[0]
 
 
+def test_lm_learns_from_the_corpus(spark):
+    """On documents held out, the trained network is better than its first weights, which know the words' frequencies."""
+    import zlib
+
+    from tallyloom.llm.common import documents
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    docs = documents(spark, "/root/testdata/sf0.001")
+    texts = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.select("doc_id", "text").collect()]
+    held = {i for i, _ in texts if zlib.crc32(str(i).encode()) % 7 == 2}
+    counts = Counter(w for i, x in texts if i not in held for w in x)
+    top = [w for w, _ in sorted(counts.items(), key=lambda p: (-p[1], p[0]))[:256]]
+    place = {w: k for k, w in enumerate(top)}
+    shape = gru.Shape(len(top), 1)
+    rest = sum(c for w, c in counts.items() if w not in place)
+    first = gru.initial(shape, np.array([*(counts[w] for w in top), len(texts) - len(held), rest], float), 7)
+    stream = lambda keep: (np.array([place.get(w, len(top) + 1) if w is not None else len(top) for i, x in texts if keep(i) for w in [*x, None]]), np.array([len(x) + 1 for i, x in texts if keep(i)]))
+    model, symbols, lengths = gru.Model(first, shape), *stream(lambda i: i in held)
+    before = model.score(symbols, lengths).sum() / len(symbols)
+    model.train(*stream(lambda i: i not in held))
+    after = model.score(symbols, lengths).sum() / len(symbols)
+    assert np.exp(-after) < 0.9 * np.exp(-before)
+
+
+def plain_gru(model, doc):
+    """Natural log probability of a document, one symbol and one state at a time."""
+    p, s = {k: v.astype(float) for k, v in model.p.items()}, model.shape
+    h, n, out, before = np.zeros(s.hidden), s.hidden, 0.0, s.top
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for y in doc:
+        g, x = h @ p["u"], p["x"][before]
+        z, r = sig(x[:n] + g[:n]), sig(x[n : 2 * n] + g[n : 2 * n])
+        c = np.tanh(x[2 * n :] + r * g[2 * n :])
+        h = z * h + (1 - z) * c
+        logits = h @ p["wc"] + p["bc"]
+        k = s.class_of[y]
+        out += logits[k] - np.log(np.exp(logits).sum())
+        if k < s.word_classes:
+            inner = h @ p["ww"][k] + p["bw"][k]
+            out += inner[y - k * s.per_class] - np.log(np.exp(inner).sum())
+        before = y
+    return out
+
+
+def test_gru_scores_equal_a_plain_network():
+    rng = np.random.default_rng(4)
+    shape = gru.Shape(11, 3, hidden=5, per_class=4)
+    model = gru.Model(gru.initial(shape, np.arange(1, 16), 3), shape)
+    docs = [rng.integers(0, shape.symbols, n) for n in (1, 3, 70, 45, 20, 1)]
+    model.train(np.concatenate(docs), np.array([len(d) for d in docs]))
+    got = model.score(np.concatenate(docs), np.array([len(d) for d in docs]))
+    assert got == pytest.approx([plain_gru(model, d) for d in docs], rel=1e-4)
+
+
+def test_lm_score_sums_to_one_over_words_and_unknown(spark):
+    """Documents of one word each, for every trained word, and one unknown word for all others: their chances add up to one."""
+    rng = random.Random(2)
+    vocab = [f"w{i}" for i in range(40)]
+    train = [(i, " ".join(rng.choice(vocab[: 5 + i % 36]) for _ in range(30))) for i in range(60)]
+    probes = [(1000 + k, w) for k, w in enumerate([*vocab, "neverseen"])] + [(2000, "")]
+    df = spark.createDataFrame(train + probes, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm.lm_scores(df, F.col("doc_id") >= 1000, top=12).filter("held_out").collect()}
+    # A document is a word and an end; its chance is the word's times the end's after it, so sums are at most one, less the empty one's.
+    total = sum(10 ** got[i] for i, _ in probes)
+    assert 0 < total < 1 + 1e-3 and all(got[1040] < got[1000 + k] for k in range(5))
+
+
+def test_chunks_gather_batches():
+    small = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([False, True]), pa.array(["a" * 1000, "b"])], names=["id", "held", "text"])
+    whole = list(lm._gathered([small] * 5))
+    assert len(whole) == 1 and [len(x) for x in whole[0]] == [10, 10, 10]
+    large = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([False]), pa.array(["a" * lm.CHUNK_BYTES])], names=["id", "held", "text"])
+    assert [len(x[0]) for x in lm._gathered([small, large, small, large])] == [3, 3]
+
+
 def test_gru_gradients():
     shape = gru.Shape(7, 2, hidden=3, per_class=4)
     flat = gru.initial(shape, np.arange(1, 11), 1)

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyloom.llm import line_dedup, mixing
+from tallyloom.llm import mixing
+
+from test_langid import VOCAB, plain
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -40,12 +42,105 @@ def test_stages(spark, docs):
     assert pieces.filter("start = 0").count() == now.count()
 
 
-def test_lines_leave_clean_documents_alone(spark, docs):
-    clean = docs.filter("doc_id < 60 and doc_id % 2 = 0").dropDuplicates(["doc_id"])
+def test_lines_leave_clean_documents_alone(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    clean = spark.createDataFrame([(i, "\n".join(" ".join(word() for _ in range(rng.randint(6, 14))) for _ in range(5)), "en", "s", 1) for i in range(80)], COLUMNS).repartition(3)
     out = corpus_pipeline.line_dedup(spark, clean, "")
-    groups = line_dedup.line_groups(clean)
-    if groups.filter("not kept").count() == 0:
-        assert sorted(map(tuple, out.select("doc_id", "text").collect())) == sorted(map(tuple, clean.select("doc_id", "text").collect()))
+    assert sorted(map(tuple, out.select("doc_id", "text").collect())) == sorted(map(tuple, clean.select("doc_id", "text").collect()))
+
+
+def test_first_stage_is_the_plain_posterior(spark):
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choice(VOCAB[k]) for _ in range(25)), k, f"s{i % 4}", 1) for i, k in enumerate(["en", "de", "fr"] * 15)]
+    texts += [(100, "qxzw wqkx zzqk xqwz kkqx qzwx xkqz zqxw wzqx kxqz jqxv vxqj qjvz xvzq zvxk kvqz vqkz zkvx xjqk qkjx", None, "s0", 1), (101, "12 34 !!", "en", None, 1), (102, None, "xx", "s1", 1), (103, "the nicht", "de", "s2", 1)]
+    docs = spark.createDataFrame(texts, COLUMNS).repartition(3)
+    want = plain([(i, t, (k or "").lower(), s or "", s or "", "") for i, t, k, s, _ in texts], [(t, k) for _, t, k, _, _ in texts])
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {i for i, (language, *_) in want.items() if language != "unknown"} and {101, 102} & kept == set()
+
+
+def grams(line):
+    b = line.encode()
+    return {b[i : i + 8] for i in range(max(1, len(b) - 7))}
+
+
+def test_line_stage_is_the_plain_union(spark):
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(10_000)}"
+    base = [" ".join(word() for _ in range(rng.randint(8, 20))) for _ in range(40)]
+    near = [x + " " + word() for x in base[:15]]
+    docs = [(i, "\n".join(rng.choice(base + near + ["", " ", "OK"]) for _ in range(rng.randint(1, 6))), "en", "s", 1) for i in range(60)]
+    lines = [(i, k, " ".join(x.split()).lower()) for i, t, *_ in docs for k, x in enumerate(t.split("\n"))]
+    different = sorted({x for *_, x in lines if x})
+    sets, parent = {x: grams(x) for x in different}, {x: x for x in different}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(different):
+        for b in different[i + 1 :]:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    first, want = set(), {}
+    for i, k, x in sorted(lines):
+        keep = not x or root(x) not in first
+        first |= {root(x)} if x else set()
+        want.setdefault(i, []).append((docs[i][1].split("\n")[k], keep, bool(x)))
+    gone = {i for i, parts in want.items() if any(real for *_, real in parts) and not any(keep and real for _, keep, real in parts)}
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(docs, COLUMNS).repartition(3), "").collect()}
+    plain_texts = {i: "\n".join(x for x, keep, _ in parts if keep) for i, parts in want.items() if i not in gone}
+    assert set(got) == set(plain_texts) and sum(got[i] == plain_texts[i] for i in got) >= 0.98 * len(got)
+
+
+def test_mixing_and_packing_stages(spark):
+    rng = random.Random(9)
+    docs = [(i, " ".join("word" for _ in range(rng.randint(1, 60))), "en", ["a", "b", None][i % 3] if i % 5 else "a", 1) for i in range(300)]
+    docs += [docs[4], docs[4]]  # repeats
+    size = {}
+    for _, t, _, s, _ in docs:
+        size[s] = size.get(s, 0) + len(t.split())
+    total, weight = sum(size.values()), {"a": 1, "b": 2, None: 3}
+    target = {s: total * w / 6 for s, w in weight.items()}
+    assert all(target[s] <= 3 * size[s] for s in size)  # no cap is met
+    mixed = corpus_pipeline.mixing(spark, spark.createDataFrame(docs, COLUMNS).repartition(3), "").cache()
+    took = {r.source: r.words for r in mixed.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("words")).collect()}
+    assert all(abs(took[s] - target[s]) <= 30 for s in size)
+    assert max(r["count"] for r in mixed.groupBy("doc_id").count().collect() if r.doc_id != 4) <= 3
+    pieces = corpus_pipeline.packing(spark, mixed, "").collect()
+    length = {}
+    for r in pieces:
+        length[r.sequence_id] = length.get(r.sequence_id, 0) + r.length
+    assert max(length.values()) <= 2048
+    assert sum(length.values()) == sum(r.doc_tokens for r in pieces if r.start == 0) and sum(r.start == 0 for r in pieces) == mixed.count()
+
+
+def test_near_copies_of_cut_documents_are_judged_as_they_are(spark):
+    """Line dedup leaves of a near copy only the lines that are its own: those are no near copies for the stage after it."""
+    rng = random.Random(30)
+    line = lambda: " ".join(f"w{rng.randrange(100_000)}" for _ in range(12))
+    base = [line() for _ in range(12)]
+    other = [*base[:11], line()]
+    docs = spark.createDataFrame([(1, "\n".join(base), "en", "s", 1), (2, "\n".join(other), "en", "s", 1), (3, "\n".join(x.replace("\n", " ") for x in [" ".join(base)]), "en", "s", 1)], COLUMNS)
+    direct = {r.doc_id for r in corpus_pipeline.simhash(spark, docs, "").collect()}
+    assert direct == {1}
+    cut = corpus_pipeline.line_dedup(spark, docs, "")
+    assert {r.doc_id: r.text for r in cut.collect()}[2] == other[11]
+    assert {r.doc_id for r in corpus_pipeline.simhash(spark, cut, "").collect()} == {1, 2}
+
+
+def test_columns_of_any_name_stay(spark, docs):
+    names = ["__gone", "__key", "__c", "__m", "__n", "__copy", "__id", "__t", "__drop", "__h", "key", "of", "gone", "row", "rows", "copies", "n", "id", "host", "text2", "a.b"]
+    wide = docs.select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
+    now = wide
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, "").cache()
+        assert now.columns == wide.columns, name
+    got = now.collect()
+    assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+    assert corpus_pipeline.packing(spark, now, "").count() > 0
 
 
 def test_near_copies_go(spark):
