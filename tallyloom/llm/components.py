@@ -21,22 +21,26 @@ from tallyloom.llm.common import remove, shared_dir, tidy, written
 FEW = 1 << 18
 
 
-def _at_once(batches):
-    """(node, root) of all edges, by joining least nodes and shortening paths."""
-    pairs = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
-    if not pairs:
-        return
-    nodes, code = np.unique(np.concatenate([x for pair in zip(*pairs, strict=True) for x in pair]), return_inverse=True)
-    u, v = code[: len(code) // 2], code[len(code) // 2 :]
-    root = np.arange(len(nodes))
+def least_roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least node that each of ``n`` nodes is connected with by the edges (u, v), by joining least nodes and shortening paths."""
+    root = np.arange(n)
     while True:
         a, b = root[u], root[v]
         apart = a != b
         if not apart.any():
-            break
+            return root
         np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
         while (root[root] != root).any():
             root = root[root]
+
+
+def _at_once(batches):
+    """(node, root) of all edges."""
+    pairs = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
+    if not pairs:
+        return
+    nodes, code = np.unique(np.concatenate([x for pair in zip(*pairs, strict=True) for x in pair]), return_inverse=True)
+    root = least_roots(len(nodes), code[: len(code) // 2], code[len(code) // 2 :])
     other = np.flatnonzero(root != np.arange(len(nodes)))
     yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[root[other]])], names=["node", "root"])
 

@@ -129,6 +129,56 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _bit_counts(hashes: np.ndarray, n: np.ndarray, factor: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Of sets of ``n`` hashes, how often each bit of the hashes, mixed by each factor, is 1: (sets, factors, 64)."""
+    u = np.uint64
+    # Up to 15 hashes are added in lanes of 4 bits, up to 17 such sums in lanes of 8, the rest in 32 bits.
+    pieces, cuts = [], [n]
+    for most in (15, 17):
+        parts = -(-cuts[-1] // most)
+        of = np.repeat(np.arange(len(parts)), parts)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+        pieces.append((np.cumsum(cuts[-1]) - cuts[-1])[of] + nth * most)
+        cuts.append(parts)
+    small = np.zeros((4, len(pieces[0]), len(factor)), u)
+    bounds = np.append(pieces[0], len(hashes))
+    for a in range(0, len(pieces[0]), 128):
+        b = min(a + 128, len(pieces[0]))
+        x = hashes[bounds[a] : bounds[b], None] * factor
+        x ^= x >> u(32)
+        x *= second
+        x ^= x >> u(29)
+        x[:, 0] = hashes[bounds[a] : bounds[b]]
+        for j in range(4):
+            np.add.reduceat((x >> u(j)) & u(0x1111111111111111), bounds[a:b] - bounds[a], axis=0, out=small[j, a:b])
+    lanes = u(0x0F0F0F0F0F0F0F0F)
+    wide = [np.add.reduceat((small[j % 4] >> u(j - j % 4)) & lanes, pieces[1], axis=0) for j in range(8)]
+    counts = np.stack([x.astype("<u8", copy=False).view(np.uint8).reshape(len(x), len(factor), 8) for x in wide], axis=3)
+    first = np.cumsum(cuts[2]) - cuts[2]
+    return np.add.reduceat(counts, first, axis=0, dtype=np.int64).reshape(len(n), len(factor), 64)
+
+
+def wide_fingerprints(hashes: np.ndarray, n: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of ``words`` times 64 bits of sets of ``n`` hashes each, one set after the other, none empty.
+
+    The first word is the majority of the hashes' own bits, as in :func:`fingerprints`; the others are that of the hashes mixed anew.
+    """
+    rng = np.random.default_rng(64)
+    factor, second = rng.integers(0, 1 << 63, (2, 256), np.uint64)[:, :words] * np.uint64(2) + np.uint64(1)
+    out, ends = [np.zeros((0, words), np.uint64)], np.cumsum(n)
+    at = 0
+    while at < len(n):
+        begin, to = int(ends[at] - n[at]), max(at + 1, min(at + 512, int(np.searchsorted(ends, ends[at] - n[at] + (1 << 17), "right"))))
+        if to > at + 1:
+            counts = _bit_counts(hashes[begin : ends[to - 1]], n[at:to], factor, second)
+        else:  # a large set by parts
+            parts = [hashes[k : min(k + (1 << 17), int(ends[at]))] for k in range(begin, int(ends[at]), 1 << 17)]
+            counts = sum(_bit_counts(x, np.array([len(x)]), factor, second) for x in parts)
+        out.append(np.packbits(2 * counts > n[at:to, None, None], axis=2, bitorder="little").view("<u8").reshape(to - at, words))
+        at = to
+    return np.concatenate(out)
+
+
 def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links among distinct fingerprints; holds a few times their number.
 

@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyloom.llm import mixing
+from tallyloom.llm import mixing, near_documents, simhash
 
 from test_langid import VOCAB, plain
 
@@ -175,6 +177,53 @@ def test_near_copies_go(spark):
     assert all({10 * k, 10 * k + 2, 10 * k + 3} <= kept and 10 * k + 1 not in kept for k in range(20))
 
 
+def test_wide_fingerprints_are_majorities():
+    rng = np.random.default_rng(3)
+    n = np.array([1, 2, 15, 16, 17, 255, 256, 4000, 1, (1 << 17) + 5])
+    hashes = rng.integers(0, 1 << 64, n.sum(), np.uint64)
+    got = simhash.wide_fingerprints(hashes, n, 3)
+    seeds = np.random.default_rng(64).integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
+    for row, own in zip(got, np.split(hashes, np.cumsum(n)[:-1]), strict=True):
+        for k in range(3):
+            x = own * seeds[0, k]
+            x = (x ^ (x >> np.uint64(32))) * seeds[1, k]
+            x = own if k == 0 else x ^ (x >> np.uint64(29))
+            assert int(row[k]) == sum(int(2 * ((x >> np.uint64(b)) & np.uint64(1)).sum() > len(x)) << b for b in range(64))
+    text = " ".join(f"w{i}" for i in range(200))
+    _, (packed,) = near_documents.signatures(pa.array([text]))
+    assert np.frombuffer(packed, "<u8")[0] == simhash.fingerprints(pa.array([text]), 5)[0]  # no shingle is repeated
+
+
+def test_near_candidates_are_of_simhash_keys():
+    """Pairs at five-word similarity 0.8 share a key of their fingerprints and have near sketches; others hardly ever do."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(1_000_000)}"
+    for words, replaced in ((8, None), (16, None), (94, (40, 70)), (454, tuple(range(10, 450, 44)))):  # 0.8, and above where shorter by the last word
+        hit = stray = 0
+        for _ in range(200):
+            base = [word() for _ in range(words)]
+            near = base + [word()] if replaced is None else [word() if i in replaced else x for i, x in enumerate(base)]
+            _, packed = near_documents.signatures(pa.array([" ".join(x) for x in (base, near, [word() for _ in range(words)])]))
+            rows = [np.frombuffer(x, "<u8") for x in packed]
+            same = [(near_documents.band_keys(rows[0][None]) == near_documents.band_keys(x[None])).any() for x in rows[1:]]
+            close = [np.bitwise_count(rows[0][:2] ^ x[:2]).sum() <= near_documents.SKETCH_BITS for x in rows[1:]]
+            hit += same[0] and close[0]
+            stray += same[1] and close[1]
+        assert hit >= 199 and stray == 0, words
+
+
+def test_sketch_groups():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 64, (40, 2), np.uint64)
+    of = rng.integers(0, 40, 3000)
+    x, y = base[of].T.copy()
+    x ^= np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)
+    keys = np.sort(rng.integers(0, 9, 3000))
+    got = near_documents.sketch_groups(keys, x, y)
+    first = {}
+    assert got.tolist() == [first.setdefault((k, o), i) for i, (k, o) in enumerate(zip(keys.tolist(), of.tolist(), strict=True))]
+
+
 def test_empty(spark, docs):
     now = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
