@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,6 +16,7 @@ from tallyloom.functions.text import BLANK, trim
 HIDDEN = ("script", "style", "noscript", "svg", "template")
 RESULT_CLASS = "result__a"
 _BLANK = re.compile(r"\s+")
+_REFERENCE = re.compile(r"&(#[0-9]+|#[xX][0-9A-Fa-f]+|[0-9A-Za-z]+)(;?)")
 
 
 class _Visible(HTMLParser):
@@ -55,10 +57,18 @@ class _Links(HTMLParser):
             self.href = None
 
 
-def visible(html: str | None, limit: int | None = None) -> str | None:
-    """Text outside hidden elements, white space collapsed, cut to ``limit`` if there is one; null if there is none."""
+def _closed_references(html: str) -> str:
+    """HTML in which an ampersand stands for itself unless a whole reference, semicolon included, follows."""
+    return _REFERENCE.sub(lambda m: m[0] if m[2] and (m[1][0] == "#" or f"{m[1]};" in html5) else f"&amp;{m[0][1:]}", html)
+
+
+def visible(html: str | None, limit: int | None = None, open_references: bool = True) -> str | None:
+    """Text outside hidden elements, white space collapsed, cut to ``limit`` if there is one; null if there is none.
+
+    Character references count without their semicolon too, as in browsers (``&amp`` is ``&``), but not with ``open_references`` False.
+    """
     parser = _Visible()
-    parser.feed(html or "")
+    parser.feed(html or "" if open_references else _closed_references(html or ""))
     parser.close()
     return _BLANK.sub(" ", " ".join(parser.parts)).strip()[:limit] or None
 
@@ -71,19 +81,19 @@ def links(html: str | None) -> list[dict]:
     return parser.found
 
 
-def visible_text(html: Column, limit: int | None = None) -> Column:
+def visible_text(html: Column, limit: int | None = None, open_references: bool = True) -> Column:
     """Visible text of whole pages, a batch at a time; a reader that has room for a prompt only gives a ``limit``."""
     def read(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: visible(page, limit))
+        return pages.map(lambda page: visible(page, limit, open_references))
 
     return F.pandas_udf(read, "string")(html)
 
 
-def page_text(content_type: Column, body: Column, limit: int | None = None) -> Column:
+def page_text(content_type: Column, body: Column, limit: int | None = None, open_references: bool = True) -> Column:
     """struct(text, error) of a page: visible text of HTML, squeezed plain text; other types and pages without text are errors."""
     kind = F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
     plain = trim(F.regexp_replace(body, rf"(?U)[{BLANK}]+", " "))
-    read = F.when(kind == "text/html", visible_text(body, limit)).when(kind == "text/plain", F.nullif(F.substring(plain, 1, limit) if limit else plain, F.lit("")))
+    read = F.when(kind == "text/html", visible_text(body, limit, open_references)).when(kind == "text/plain", F.nullif(F.substring(plain, 1, limit) if limit else plain, F.lit("")))
     error = F.when(~kind.isin("text/html", "text/plain"), "unsupported_content_type").when(read.isNull(), "no_text")
     return F.struct(F.when(error.isNull(), read).alias("text"), error.alias("error"))
 

@@ -1,5 +1,6 @@
 """Operators on small fixtures."""
 
+import duckdb
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.errors import RecordError
 from tallyloom.functions import traces
 from tallyloom.operators import audit, dedup, dimensions, facts, retrieval, rollout, synthesis, validation, web
+from tallyloom.plans import catalogue
 from tallyloom.sources import jsonl, protocols, schemas, snapshot
 
 FACT = {"fact_id": "f1", "fact": "甲2025年营收为15.3%。", "source_doc": "d", "source_url": "", "source_type": "s", "document_id": "i", "published_at": "2025", "retrieved_at": "2025", "raw_content_hash": "h", "entity": "甲", "metric": "营收", "value_text": "15.3%", "value_type": "percentage", "value_number": 15.3, "unit": "%", "date": "2025-Q4"}
@@ -220,6 +222,23 @@ def test_html():
     assert web.links('<a class="x result__a" href="/u">T <b>1</b></a><a href="/v">no</a>') == [{"title": "T 1", "url": "/u"}]
 
 
+def test_open_references(spark):
+    page = "<p>a&amp b &copy; &amp;amp &#39; &notit; &am &amp;copy; c&amp</p>"
+    assert web.visible(page) == "a& b © &amp ' ¬it; &am &copy; c&"
+    assert web.visible(page, open_references=False) == "a&amp b © &amp ' &notit; &am &copy; c&amp"
+
+
+def test_pages_with_open_references(spark, tmp_path):
+    """A page cut within a reference, as some of sf0.1 are, against the queries' SQL."""
+    pages = [(i, f"http://a.org/{i}", f"<title>x and&amp</title><h1>x and&amp</h1><p>y &amp; z{i}</p>") for i in range(4)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("visible_text",):
+        got = sorted(tuple(r) for r in catalogue.queries()[name](spark, str(tmp_path)).collect())
+        assert got == sorted(con.execute(catalogue.oracle_sql()[name]).fetchall()) and "and&amp x and&amp" in got[1][1]
+
+
 def test_event_stream(spark):
     body = 'data: {"choices":[{"delta":{"content":"年"}}]}\n\ndata: {"choices":[{"delta":{}}]}\ndata: {"choices":[{"delta":{"content":"报"}}]}\ndata: [DONE]\ndata: {"choices":[{"delta":{"content":"x"}}]}'
     df = spark.createDataFrame([(body,), ("",)], "b string")
