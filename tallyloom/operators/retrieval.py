@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,12 +12,15 @@ from pyspark.sql import functions as F
 
 from tallyloom.errors import RetrievalError
 from tallyloom.functions.text import trim
+from tallyloom.sources.scratch import scratch_dir, written
 
 # Hosts of exchanges and regulators, which come first.
 PREFERRED_DOMAINS = ("cninfo.com.cn", "sse.com.cn", "szse.cn", "csrc.gov.cn", "hkexnews.hk")
 SEARCH_LIMIT, DOCUMENT_LIMIT, TOP_K = 6, 3, 3
 #: Bytes of query vectors that may go to every task.
 FEW_BYTES = 8 << 20
+#: Queries, and records, that meet at a time in a task; their pairs that are added up again at a time.
+TILE, PAIRS = 512, 1 << 14
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -27,9 +32,9 @@ def search(queries: DataFrame, records: DataFrame, k: int = TOP_K, strict: bool
     """Each query's ``k`` best records with ``score`` and ``rank``: highest product, ties to the smaller id.
 
     A blank query or ``k`` below 1 gives nothing, with ``strict`` an error.  Records whose vector is null or of another length
-    than a query's take no part for it.  Queries of at most ``few_bytes`` in all go to the records as they lie, as one matrix:
-    a batch of records is one product, and only a batch's best leave it.  More queries are repeated per block of records, and a
-    block's best are ranked before blocks meet.
+    than a query's take no part for it.  Queries of at most ``few_bytes`` in all go to the records as they lie; more are dealt to
+    passes of half as much, and the records, written once in ``blocks`` parts, are read once per pass.  The work is the product of
+    both counts; what the driver and a task hold at a time is not.
     """
     if k < 1 and strict:
         raise RetrievalError("k must be at least 1")
@@ -38,48 +43,96 @@ def search(queries: DataFrame, records: DataFrame, k: int = TOP_K, strict: bool
         some = F.coalesce(trim(F.col(text)) != "", F.lit(False))
         asked = asked.filter(F.assert_true(some, "query must not be blank").isNull()) if strict else asked.filter(some)
     asked = asked.filter("__q is not null")
-    k = max(k, 0)
-    order = [F.desc("score"), F.col(id_col)]
     size = asked.agg(F.coalesce(F.sum(F.size("__q")), F.lit(0)) * 8, F.count("*")).first()
-    if size[0] + 64 * size[1] <= few_bytes and k:
-        rows = asked.select(query_id, "__q").collect()  # few_bytes at most
-        met = _products(records, rows, k, vector, id_col)
-        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("__nth").orderBy(*order))).filter(F.col("rank") <= k)
-        named = records.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], f"__nth int, `{query_id}` {asked.schema[query_id].dataType.simpleString()}")
-        return ranked.join(F.broadcast(named), "__nth").join(F.broadcast(asked.drop("__q")), query_id).drop("__nth") if rows else records.drop(vector).limit(0).crossJoin(asked.drop("__q")).withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(1))
-    block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
-    parts = asked.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = records.withColumn("__block", block).join(parts, "__block").filter(F.size("__q") == F.size(vector)).withColumn("score", inner_product(F.col("__q"), F.col(vector)))
-    best = met.withColumn("__r", F.row_number().over(Window.partitionBy(query_id, "__block").orderBy(*order))).filter(F.col("__r") <= k)
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*order)))
-    return ranked.filter(F.col("rank") <= k).drop("__q", "__block", "__r", vector)
+    held = size[0] + 64 * size[1]
+    if k < 1 or not size[1]:
+        return records.drop(vector).limit(0).crossJoin(asked.drop("__q")).withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(1))
+    spark = records.sparkSession
+    if held <= few_bytes:
+        best = _pass(asked, records, k, query_id, vector, id_col)
+    else:
+        scratch, passes = scratch_dir(spark), min(math.ceil(2 * held / max(few_bytes, 1)), size[1])
+        dealt = asked.select(query_id, "__q", F.floor(F.rand(0) * passes).cast("int").alias("__pass"))
+        dealt.write.partitionBy("__pass").parquet(f"{scratch}/queries")
+        dealt = spark.read.schema(dealt.schema).parquet(f"{scratch}/queries")
+        records = written(records.repartition(blocks), f"{scratch}/records")
+        for i in range(passes):
+            own = dealt.filter(F.col("__pass") == i)
+            _pass(own, records, k, query_id, vector, id_col).write.mode("append").parquet(f"{scratch}/best")
+        best = spark.read.parquet(f"{scratch}/best")
+    return best.join(asked.drop("__q"), query_id)
+
+
+def _pass(asked: DataFrame, records: DataFrame, k: int, query_id: str, vector: str, id_col: str) -> DataFrame:
+    """The ``k`` best records of each of a pass's queries (``query_id``, ``__q``), which come to the driver, with ``score`` and ``rank``."""
+    rows = asked.select(query_id, "__q").collect()
+    named = records.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], f"__nth int, `{query_id}` {asked.schema[query_id].dataType.simpleString()}")
+    met = _products(records, rows, k, vector, id_col)
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("__nth").orderBy(F.desc("score"), F.col(id_col)))).filter(F.col("rank") <= k)
+    return ranked.join(F.broadcast(named), "__nth").drop("__nth")
 
 
 def _products(records: DataFrame, rows: list, k: int, vector: str, id_col: str) -> DataFrame:
-    """Records without their vectors, with ``score`` and ``__nth``, the query's place in ``rows``: each batch's ``k`` best per query."""
+    """Records without their vectors, with ``score`` and ``__nth``, the query's place in ``rows``: all that may be among a query's ``k`` best.
+
+    A tile of queries and records is one matrix product.  It only turns away: what it leaves within rounding of the ``k`` best so far
+    is added up again, left to right, as :func:`inner_product` does, so that equal vectors have equal scores wherever they lie.
+    """
     keep = [c for c in records.columns if c != vector]
-    by_length: dict[int, tuple[list[int], np.ndarray]] = {}
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for length in {len(r[1]) for r in rows}:
         own = [i for i, r in enumerate(rows) if len(r[1]) == length]
-        by_length[length] = own, np.array([rows[i][1] for i in own], float)
+        by_length[length] = np.array(own), np.array([rows[i][1] for i in own], float).reshape(len(own), length)
+    high = max(1, min(TILE, TILE * TILE // (4 * k)))
+
+    def exact(a, b):
+        total = np.zeros(len(a))
+        for i in range(a.shape[1]):
+            total += a[:, i] * b[:, i]
+        return total
+
+    def candidates(queries, vectors, least):
+        """Places of queries and of records, and scores, of a tile's pairs that aren't below each query's ``least``."""
+        with np.errstate(all="ignore"):
+            scores = queries @ vectors.T
+            slack = 4e-16 * (queries.shape[1] + 1) * np.linalg.norm(queries, axis=1) * np.max(np.linalg.norm(vectors, axis=1), initial=0) + 1e-300
+            floor = least - slack
+            near = ~(scores < floor[:, None])
+            if len(vectors) > k and np.count_nonzero(near) > 4 * k * len(queries):
+                top = np.partition(scores, len(vectors) - k, axis=1)[:, len(vectors) - k]
+                near = ~(scores < np.fmax(floor, top - 2 * slack)[:, None])
+            q, r = np.nonzero(near)
+            parts = [exact(queries[q[i : i + PAIRS]], vectors[r[i : i + PAIRS]]) for i in range(0, len(q), PAIRS)]
+            return q, r, np.concatenate([np.empty(0), *parts])
 
     def best(batches):
+        tops = {length: np.full(len(own), -np.inf) for length, (own, _) in by_length.items()}
         for batch in batches:
-            vectors, ids = batch.column(len(keep)), batch.column(keep.index(id_col))
-            lengths = np.array(pc.fill_null(pc.list_value_length(vectors), -1))
+            lists = batch.column(len(keep))
+            place = pc.rank(batch.column(keep.index(id_col)), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+            lengths = np.array(pc.fill_null(pc.list_value_length(lists), -1))
             for length, (own, matrix) in by_length.items():
-                at = np.flatnonzero(lengths == length)
-                if not len(at):
-                    continue
-                flat = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, length)
-                scores = matrix @ flat.T
-                names = np.array(ids.take(pa.array(at)).to_pylist(), object)
-                for q, s in zip(own, scores, strict=True):
-                    some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
-                    if len(some) > k:
-                        some = np.array(sorted(some.tolist(), key=lambda j: (-s[j], names[j] is not None, names[j]))[:k])  # noqa: B023
-                    out = batch.take(pa.array(at[some]))
-                    yield pa.RecordBatch.from_arrays([*out.columns[: len(keep)], pa.array(s[some]), pa.array(np.full(len(some), q), pa.int32())], names=[*keep, "score", "__nth"])
+                at, top = np.flatnonzero(lengths == length), tops[length]
+                flat = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), length)
+                for q0 in range(0, len(own) if len(at) else 0, high):
+                    queries, kept = matrix[q0 : q0 + high], None
+                    for r0 in range(0, len(at), TILE):
+                        q, r, s = candidates(queries, flat[r0 : r0 + TILE], top[q0 : q0 + high])
+                        if kept and not len(q):
+                            continue
+                        new = q, at[r + r0], s
+                        q, r, s = (np.concatenate(x) for x in zip(kept, new, strict=True)) if kept else new
+                        order = np.lexsort((place[r], -s, ~np.isnan(s), q))
+                        q, r, s = q[order], r[order], s[order]
+                        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+                        q, r, s = kept = q[first], r[first], s[first]
+                        full = np.flatnonzero(np.bincount(q, minlength=len(queries)) == k)
+                        top[q0 + full] = np.fmax(top[q0 + full], s[np.searchsorted(q, full, side="right") - 1])
+                    q, r, s = kept
+                    for i in range(0, len(q), len(batch)):
+                        some = slice(i, i + len(batch))
+                        out = batch.take(pa.array(r[some]))
+                        yield pa.RecordBatch.from_arrays([*out.columns[: len(keep)], pa.array(s[some]), pa.array(own[q[some] + q0], pa.int32())], names=[*keep, "score", "__nth"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.select(*keep).schema.fields)
     return records.select(*keep, vector).mapInArrow(best, f"{fields}, score double, __nth int")

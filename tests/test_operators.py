@@ -1,6 +1,7 @@
 """Operators on small fixtures."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -184,6 +185,35 @@ def test_search(spark):
     assert nothing == '[search] 未找到与 "q" 相关的结果。'
 
 
+def test_search_in_passes_and_tiles(spark, monkeypatch):
+    """Several batches, tiles and passes, repeated vectors, other lengths and NaN, against plain sums from left to right."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(900, 24)).astype("float32")
+    vectors[rng.random(900) < 0.4] = vectors[0]
+    rows = [(f"{i:03d}", v.tolist()) for i, v in enumerate(vectors)] + [("x", [1.0]), ("y", None), ("z", [float("nan")] + [0.0] * 23)]
+    asked = [(i, f"q{i}", vectors[i].tolist()) for i in range(0, 900, 30)]
+    want = []
+    for i, _, a in asked:
+        total = np.zeros(900)
+        for d in range(24):
+            total += float(a[d]) * vectors[:, d].astype(float)
+        best = sorted(range(900), key=lambda j: (-total[j], j))[:4]  # noqa: B023
+        want += [(i, 1, "z", None), *((i, n + 2, f"{j:03d}", total[j]) for n, j in enumerate(best))]
+    recs, q = spark.createDataFrame(rows, "fact_id string, embedding array<float>").repartition(3), spark.createDataFrame(asked, "query_id int, query string, vector array<float>")
+    held, tile = [], retrieval._pass
+    monkeypatch.setattr(retrieval, "_pass", lambda asked, *rest: held.append(asked.count()) or tile(asked, *rest))
+    monkeypatch.setattr(retrieval, "TILE", 7)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+        for few in (8 << 20, 2048):
+            held.clear()
+            got = sorted((r.query_id, r["rank"], r.fact_id, None if r.score != r.score else r.score) for r in retrieval.search(q, recs, 5, few_bytes=few, blocks=3).collect())
+            assert got == want and sum(held) == 30 and (max(held) == 30 if few > 2048 else max(held) < 12)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
 def test_web_ranking(spark):
     hits = spark.createDataFrame([("q", "https://a.com/long/path", 0), ("q", "https://b.com", 1), ("q", "https://www.sse.com.cn/x", 2), ("q", "https://fake-sse.com.cn", 3)], "query string, url string, place int")
     got = [r.url for r in retrieval.rank_hits(hits, limit=3).orderBy("rank").collect()]
