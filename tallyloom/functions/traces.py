@@ -13,8 +13,13 @@ CHAT_END = "<|im_end|>"
 
 
 def tag_contents(trace: Column, tag: str) -> Column:
-    """What stands between each pair of tags."""
-    return F.regexp_extract_all(trace, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1))
+    """What stands between each pair of tags.
+
+    Each closing tag ends a piece, in which the first opening tag counts: one pass, also where tags stay open.
+    """
+    pieces = F.split(trace, f"</{tag}>", -1)
+    closed = F.filter(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda x: F.contains(x, F.lit(f"<{tag}>")))
+    return F.transform(closed, lambda x: F.substring(x, F.instr(x, f"<{tag}>") + len(f"<{tag}>"), F.length(x)))
 
 
 def count_of(trace: Column, part: str) -> Column:
@@ -57,7 +62,9 @@ def final_answer(trace: Column, mode: str = "closed") -> Column:
     ``last_open``: from the last opening tag to the last closing one after it, null if blank.
     """
     if mode == "last_open":
-        return F.nullif(trim(F.regexp_extract(trace, r"(?s).*<answer>(.*)</answer>", 1)), F.lit(""))
+        after = F.substring_index(trace, "</answer>", -1)
+        head = F.when(F.contains(trace, F.lit("</answer>")), F.substring(trace, F.lit(1), F.length(trace) - F.length(after) - len("</answer>")))
+        return F.nullif(trim(F.when(F.contains(head, F.lit("<answer>")), F.substring_index(head, "<answer>", -1))), F.lit(""))
     last = trim(F.try_element_at(tag_contents(trace, "answer"), F.lit(-1)))
     return last if mode == "keep_blank" else F.nullif(last, F.lit(""))
 

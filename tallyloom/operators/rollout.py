@@ -46,7 +46,9 @@ def environment_characters(segments: Column) -> Column:
 def trajectories(df: DataFrame, trace: str = "raw_text", results: str = "tool_results") -> DataFrame:
     """Trajectory columns from raw traces and the texts that their searches returned."""
     queries = queries_of(F.col(trace))
-    steps = F.transform(queries, lambda q, i: F.struct(q.alias("query"), F.coalesce(F.try_element_at(F.col(results), i + 1), F.lit("")).alias("retrieved_text"), F.array().cast("array<struct<value_text:string,fact:string,unit:string>>").alias("retrieved_records")))
+    # An array named in a lambda is computed again for each element, so results go beside the queries.
+    found = F.slice(F.coalesce(F.col(results), F.array().cast("array<string>")), F.lit(1), F.greatest(F.size(queries), F.lit(0)))
+    steps = F.zip_with(queries, found, lambda q, r: F.struct(q.alias("query"), F.coalesce(r, F.lit("")).alias("retrieved_text"), F.array().cast("array<struct<value_text:string,fact:string,unit:string>>").alias("retrieved_records")))
     return df.withColumn("search_steps", steps).withColumn("final_answer", final_answer(F.col(trace), "keep_blank")).withColumn("num_rounds", F.size(tag_contents(F.col(trace), "search"))).withColumn("tool_calls_in_single_round", F.lit(1)).withColumn("is_repeated_query", has_repeat(queries))
 
 

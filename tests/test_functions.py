@@ -2,6 +2,9 @@
 
 import hashlib
 import math
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,6 +155,25 @@ def test_turns(spark):
     assert not two.valid and not bare.valid and not blank.valid and two.kind is None
 
 
+def test_tags_as_by_patterns(spark):
+    rng, parts = random.Random(5), ["<answer>", "</answer>", "<search>", "</search>", "<", "a", " b\n", "</answer", "answer>"]
+    texts = ["", *("".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(400))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    got = df.select(traces.tag_contents(F.col("t"), "answer"), traces.tag_contents(F.col("t"), "search"), traces.final_answer(F.col("t"), "last_open")).collect()
+    for t, (answers, searches, last) in zip(texts, got, strict=True):
+        assert answers == re.findall("(?s)<answer>(.*?)</answer>", t) and searches == re.findall("(?s)<search>(.*?)</search>", t)
+        found = re.search("(?s).*<answer>(.*)</answer>", t)
+        assert last == (found and found[1].strip() or None)
+
+
+def test_long_open_traces(spark):
+    """Work on traces whose tags stay open grows with their length, not with its square."""
+    df = spark.range(2).select(F.repeat(F.lit("<search>q</search><answer> some words "), 20_000).alias("t"))
+    began = time.time()
+    got = df.select(traces.final_answer(F.col("t"), "last_open").alias("last"), traces.final_answer(F.col("t")).alias("closed"), F.size(traces.queries_of(F.col("t"))).alias("n")).collect()
+    assert [tuple(r) for r in got] == [(None, None, 20_000)] * 2 and time.time() - began < 60
+
+
 def test_final_answers(spark):
     t = ["<answer>a</answer><answer> </answer>", "<answer>a</answer>", "none"]
     assert many(spark, traces.final_answer, t) == [None, "a", None]
