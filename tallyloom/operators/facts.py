@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.keys import short_hash
-from tallyloom.functions.text import entity, metric, trim, truthy, valued_metric, without_format_hint, without_latex
+from tallyloom.functions.text import entity, let, metric, trim, truthy, valued_metric, without_format_hint, without_latex
 from tallyloom.functions.values import parse_answer_value, parse_value, quarter_label, value_type
 from tallyloom.operators.dedup import keep_first, keep_last
 from tallyloom.operators.dimensions import UNKNOWN, infer_industry, is_chinese, keep_codes, last_days, lookup, name_in_title, small
@@ -168,14 +168,12 @@ def question_facts(rows: DataFrame, retrieved: Column | None = None) -> DataFram
 
     Answers never become facts.
     """
-    id_, doc = F.coalesce("finqa_id", F.lit("")), F.coalesce("doc_type", F.lit(""))
     company = F.coalesce("company_with_period", F.lit(""))
-    name = F.coalesce(entity(company), F.nullif(company, F.lit("")), F.lit(UNKNOWN))
-    q = without_format_hint(F.coalesce("question", F.lit("")))
-    k = F.coalesce("external_knowledge", F.lit(""))
-    m = metric(q)
-    v = parse_answer_value(m["value_text"])
-    clean = without_latex(k)
+    # Each is a column of its own before it is used several times: written into its uses, a pattern would run once per use.
+    rows = rows.select(F.coalesce("finqa_id", F.lit("")).alias("id"), F.coalesce("doc_type", F.lit("")).alias("doc"), "doc_type", let(company, lambda c: F.coalesce(entity(c), F.nullif(c, F.lit("")), F.lit(UNKNOWN))).alias("name"), without_format_hint(F.coalesce("question", F.lit(""))).alias("q"), F.coalesce("external_knowledge", F.lit("")).alias("k"))
+    rows = rows.withColumn("m", F.when(F.length("q") > 20, let(F.col("q"), metric))).withColumn("clean", without_latex(F.col("k")))
+    rows = rows.withColumn("v", parse_answer_value(F.col("m.value_text")))
+    id_, doc, name, q, k, m, v, clean = map(F.col, ("id", "doc", "name", "q", "k", "m", "v", "clean"))
 
     def fact(kind: str, fact_text: Column, metric_: Column, value_text: Column, number: Column, type_: Column, unit: Column, currency: Column, scale: Column, content: Column, structured: Column) -> Column:
         return F.struct(F.concat(F.lit(f"fcqa_{kind}_"), short_hash(F.concat(id_, F.lit(f"_{kind}")))).alias("fact_id"), fact_text.alias("fact"), metric_.alias("metric"), value_text.alias("value_text"), number.alias("value_number"), type_.alias("value_type"), unit.alias("unit"), currency.alias("currency"), scale.alias("scale"), short_hash(content).alias("raw_content_hash"), structured.alias("structured"))
@@ -184,7 +182,7 @@ def question_facts(rows: DataFrame, retrieved: Column | None = None) -> DataFram
     asked = fact("q", F.concat(F.lit("FinanceComplexQA金融问答上下文: "), F.substring(q, 1, 400)), F.coalesce(m["metric"], F.lit(CONTEXT_METRIC)), F.coalesce(F.nullif(m["value_text"], F.lit("")), F.substring(q, 1, 150)), v["number"], m["value_type"], v["unit"], v["currency"], v["scale"], F.concat(id_, F.substring(q, 1, 200)), m["metric"].isNotNull())
     known = fact("k", F.concat(F.lit("金融公式/领域知识: "), F.substring(clean, 1, 400)), F.lit(FORMULA_METRIC), F.substring(clean, 1, 200), none.cast("double"), F.lit("text"), F.lit(""), none.cast("string"), F.lit(""), F.concat(id_, F.substring(clean, 1, 200)), F.lit(False))
     both = F.array_compact(F.array(F.when(F.length(q) > 20, asked), F.when(F.length(k) > 20, known)))
-    out = rows.select(name.alias("entity"), infer_industry(name, F.col("doc_type")).alias("industry"), F.concat(F.lit("FinanceComplexQA/"), doc, F.lit(" (id: "), id_, F.lit(")")).alias("source_doc"), F.concat(F.lit("fcqa_"), id_).alias("document_id"), F.explode(both).alias("f"))
+    out = rows.select(name.alias("entity"), let(name, lambda n: infer_industry(n, F.col("doc_type"))).alias("industry"), F.concat(F.lit("FinanceComplexQA/"), doc, F.lit(" (id: "), id_, F.lit(")")).alias("source_doc"), F.concat(F.lit("fcqa_"), id_).alias("document_id"), F.explode(both).alias("f"))
     return as_facts(out.select("f.*", "entity", "industry", "source_doc", "document_id", F.lit("opensource_dataset").alias("source_type")), retrieved)
 
 

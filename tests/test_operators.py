@@ -214,6 +214,13 @@ def test_search_in_passes_and_tiles(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
 
 
+def test_question_facts_run_each_pattern_once(spark):
+    cols = ("finqa_id", "doc_type", "company_with_period", "question", "external_knowledge")
+    df = facts.question_facts(spark.range(3).select(*[F.concat(F.lit("x"), F.col("id").cast("string")).alias(c) for c in cols]))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("同比(?:增长|增速") < 20, plan.count("同比(?:增长|增速")
+
+
 def test_web_ranking(spark):
     hits = spark.createDataFrame([("q", "https://a.com/long/path", 0), ("q", "https://b.com", 1), ("q", "https://www.sse.com.cn/x", 2), ("q", "https://fake-sse.com.cn", 3)], "query string, url string, place int")
     got = [r.url for r in retrieval.rank_hits(hits, limit=3).orderBy("rank").collect()]
