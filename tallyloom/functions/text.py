@@ -33,6 +33,8 @@ VALUED_METRICS = (
 )
 #: White space as a set for patterns: Unicode's, and the four separators that Java's class leaves out.
 BLANK = r"\s\x1c-\x1f"
+#: The same characters one by one.
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, body) -> Column:
@@ -42,7 +44,7 @@ def let(value: Column, body) -> Column:
 
 def trim(x: Column) -> Column:
     """Strip white space of any kind from both ends."""
-    return F.regexp_replace(x, f"(?U)^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def squeeze(x: Column) -> Column:
@@ -90,7 +92,8 @@ def candidate_choice(x: Column, n: Column) -> Column:
 def entity(x: Column, with_company: bool = True) -> Column:
     """The first known company in a text, or two to six Chinese characters with a company suffix; null if none."""
     suffixes = "|".join((*ENTITY_SUFFIXES, *(("公司",) if with_company else ())))
-    return F.nullif(F.regexp_extract(x, rf"({'|'.join(KNOWN_ENTITIES)}|[一-鿿]{{2,6}}(?:{suffixes}))", 1), F.lit(""))
+    # All names have a Chinese character; a text without any needn't be tried name by name.
+    return F.when(x.rlike("[一-鿿]"), F.nullif(F.regexp_extract(x, rf"({'|'.join(KNOWN_ENTITIES)}|[一-鿿]{{2,6}}(?:{suffixes}))", 1), F.lit("")))
 
 
 def metric(x: Column) -> Column:
@@ -114,7 +117,7 @@ def metric(x: Column) -> Column:
 def valued_metric(x: Column) -> Column:
     """struct(metric, value_text): the first pattern with its number, by priority; null if none."""
     hit = lambda p, name: F.when(x.rlike(p), F.struct(F.lit(name).alias("metric"), F.regexp_extract(x, f"({p})", 1).alias("value_text")))
-    return F.coalesce(*[hit(p, name) for p, name in VALUED_METRICS])
+    return F.when(x.rlike("[一-鿿]|PE|ROE"), F.coalesce(*[hit(p, name) for p, name in VALUED_METRICS]))  # one of these is in each name
 
 
 def without_format_hint(x: Column) -> Column:

@@ -174,6 +174,21 @@ def test_long_open_traces(spark):
     assert [tuple(r) for r in got] == [(None, None, 20_000)] * 2 and time.time() - began < 60
 
 
+def test_trim_takes_all_white_space(spark):
+    """Each character of the basic plane at both ends, as Java's Unicode pattern has it; and a long run within a text, in one pass."""
+    df = spark.range(1, 65536).filter("id not between 55296 and 57343").selectExpr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE') AS c")
+    df = df.select(F.concat("c", F.lit("a"), "c", F.lit("b"), "c").alias("x"))
+    assert df.filter(~text.trim(F.col("x")).eqNullSafe(F.regexp_replace("x", f"(?U)^[{text.BLANK}]+|[{text.BLANK}]+$", ""))).count() == 0
+    began = time.time()
+    long = spark.range(4).select(F.concat(F.lit("a"), F.repeat(F.lit(" "), 300_000), F.lit("b ")).alias("x"))
+    assert [r[0] for r in long.select(F.length(text.trim(F.col("x")))).collect()] == [300_002] * 4 and time.time() - began < 30
+
+
+def test_names_in_texts_without_chinese(spark):
+    assert many(spark, text.entity, ["x" * 99, "", None, "TCL中环 x"]) == [None, None, None, "TCL中环"]
+    assert many(spark, lambda x: text.valued_metric(x)["metric"], ["PE 3", "the PE12倍", "ROE7%", None, "营收"]) == [None, "市盈率", "净资产收益率", None, None]
+
+
 def test_final_answers(spark):
     t = ["<answer>a</answer><answer> </answer>", "<answer>a</answer>", "none"]
     assert many(spark, traces.final_answer, t) == [None, "a", None]
